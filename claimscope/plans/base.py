@@ -6,11 +6,11 @@ from claimscope.functions.columns import joined
 from claimscope.operators.routing import claim_codes, flatten, route, with_defaults
 from claimscope.plans.claims_sql import over_claims
 from claimscope.plans.registry import Registry
-from claimscope.sources.tables import CLAIM_COLUMNS, claims
+from claimscope.sources.tables import CLAIM_COLUMNS, claims, read_claims
 
 registry = Registry()
 
-_TABULAR = [c for c in CLAIM_COLUMNS if c != "notes"]
+_TABULAR = [c for c in CLAIM_COLUMNS if c != "note_id"]
 _LISTS = ["red_flags", "procedure_codes", "diagnosis_codes"]
 
 
@@ -29,7 +29,7 @@ _LISTS = ["red_flags", "procedure_codes", "diagnosis_codes"]
     )
 )
 def claims_table(spark, sf_dir):
-    rows = claims(spark, sf_dir, *_TABULAR)
+    rows = read_claims(spark, sf_dir, *_TABULAR)
     lists = {c: F.when(F.col(c).isNotNull(), joined(F.col(c))) for c in _LISTS}
     return rows.withColumns(
         {

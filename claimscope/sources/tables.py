@@ -1,8 +1,4 @@
-"""Claims read from the star-schema tables: one claim per order.
-
-Only the joins behind the requested columns are planned, so a query over amounts scans
-two columns of ``orders`` and nothing else.
-"""
+"""Claims read from the star-schema tables: one claim per order."""
 
 from __future__ import annotations
 
@@ -11,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimscope.constants import CLAIM_TYPES, DIAGNOSIS_POOL, ORDER_FLAGS, PROCEDURE_POOL
-from claimscope.functions.columns import lookup, texts
+from claimscope.functions.columns import lookup
+from claimscope.session import scratch_path
 
 ORDER_COLUMNS = [
     "claim_id", "patient_id", "date_of_service", "billed_amount", "service_location",
@@ -21,7 +18,7 @@ LINE_COLUMNS = [
     "provider_id", "provider_npi", "fraud_indicator", "rendering_hours", "quantity",
     "days_supply", "fill_date", "procedure_codes", "diagnosis_codes",
 ]
-OTHER_COLUMNS = ["claim_type", "referred_to_provider", "provider_specialty", "notes"]
+OTHER_COLUMNS = ["claim_type", "referred_to_provider", "provider_specialty", "note_id"]
 CLAIM_COLUMNS = ORDER_COLUMNS + LINE_COLUMNS + OTHER_COLUMNS
 
 
@@ -68,13 +65,33 @@ def _line_values(key: Column) -> dict[str, Column]:
         "quantity": (F.col("first.l_quantity") * 40).cast("int"),
         "days_supply": F.col("first.l_linenumber") * 20,
         "fill_date": F.col("first.l_shipdate").cast("date"),
-        "procedure_codes": F.array_sort("px"),
-        "diagnosis_codes": F.array_sort("dx"),
+        "procedure_codes": _pool_codes(PROCEDURE_POOL, F.col("px")),
+        "diagnosis_codes": _pool_codes(DIAGNOSIS_POOL, F.col("dx")),
     }
 
 
-def _pooled(pool: list[str], index: Column) -> Column:
-    return F.element_at(texts(pool), (index % len(pool) + 1).cast("int"))
+def _pool_bits(pool: list[str], index: Column) -> Column:
+    """The set of pool entries met, one bit each: a fixed-size buffer per order."""
+    place = (index % len(pool)).cast("int")
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+
+def _pool_codes(pool: list[str], bits: Column) -> Column:
+    """The sorted codes whose bits are set; null where no line was met."""
+    met = [
+        F.when(F.shiftright(bits, place).bitwiseAND(1) == 1, F.lit(code))
+        for code, place in sorted((code, place) for place, code in enumerate(pool))
+    ]
+    return F.when(bits.isNotNull(), F.array_compact(F.array(*met)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table kept in fewer files than there are cores, dealt out to all of them.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _line_summary(spark: SparkSession, sf_dir: str, codes: bool, first: bool) -> DataFrame:
@@ -85,8 +102,8 @@ def _line_summary(spark: SparkSession, sf_dir: str, codes: bool, first: bool) ->
         wanted.append(F.min(F.struct(*fields)).alias("first"))
     if codes:
         part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-        wanted.append(F.collect_set(_pooled(PROCEDURE_POOL, part)).alias("px"))
-        wanted.append(F.collect_set(_pooled(DIAGNOSIS_POOL, part + supplier)).alias("dx"))
+        wanted.append(_pool_bits(PROCEDURE_POOL, part).alias("px"))
+        wanted.append(_pool_bits(DIAGNOSIS_POOL, part + supplier).alias("dx"))
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*wanted)
 
 
@@ -104,11 +121,11 @@ def _second_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def claims(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The claims table with the given columns (all of them if none is named)."""
+def read_claims(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Claims with the given columns (all of them if none is named), built from the tables."""
     wanted = list(columns) or CLAIM_COLUMNS
     key = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders")
+    rows = spread(table(spark, sf_dir, "orders"))
     need_codes = bool({"procedure_codes", "diagnosis_codes"} & set(wanted))
     need_first = bool(
         (set(LINE_COLUMNS) - {"procedure_codes", "diagnosis_codes"}) & set(wanted)
@@ -127,15 +144,41 @@ def claims(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
         places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         rows = rows.join(places, F.col("first.l_suppkey") == F.col("s_suppkey"), "left")
-    if "notes" in wanted:
-        documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("notes"))
-        rows = rows.join(documents, key % F.lit(documents.count()) == F.col("doc_id"), "left")
+    if "note_id" in wanted:
+        documents = table(spark, sf_dir, "documents").count()
     values = {
         **_order_values(key),
         **_line_values(key),
         "claim_type": lookup(F.col("c_mktsegment"), CLAIM_TYPES, "professional"),
         "referred_to_provider": F.col("referred_to_provider"),
         "provider_specialty": F.col("n_name"),
-        "notes": F.col("notes"),
+        **({"note_id": key % documents} if "note_id" in wanted else {}),
     }
     return rows.select(*[values[c].alias(c) for c in wanted])
+
+
+_ingested: dict[tuple[str, str], str] = {}
+
+
+def ingest_claims(spark: SparkSession, sf_dir: str) -> str:
+    """Write the claims table once per application to the shared folder; returns its path.
+
+    Queries then read pruned columns of it, instead of each joining and aggregating the
+    line items again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ingested:
+        path = scratch_path(spark)
+        read_claims(spark, sf_dir).write.parquet(path)
+        _ingested[key] = path
+    return _ingested[key]
+
+
+def claims(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The ingested claims with the given columns; ``notes`` is looked up by ``note_id``."""
+    wanted = list(columns) or [*CLAIM_COLUMNS, "notes"]
+    rows = spark.read.parquet(ingest_claims(spark, sf_dir))
+    if "notes" in wanted:
+        documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("notes"))
+        rows = rows.join(documents, F.col("note_id") == F.col("doc_id"), "left")
+    return rows.select(*wanted)
