@@ -157,6 +157,7 @@ def narratives(claims: DataFrame) -> DataFrame:
         .withColumn("flags", red_flags())
     )
     providers = F.col("provider_count_90d")
+    mean = F.round(F.col("avg_claim_amount").cast("decimal(18,6)"), 2).cast("decimal(18,2)")
     parts = F.array_compact(
         F.array(
             F.concat(F.lit("Patient has "), "claim_count", F.lit(" claims")),
@@ -164,7 +165,7 @@ def narratives(claims: DataFrame) -> DataFrame:
             F.concat(F.lit("over "), F.datediff("date_range_end", "date_range_start"), F.lit(" days")),
             F.when(F.col("top_dx") != "", F.concat(F.lit("Primary diagnoses: "), "top_dx")),
             F.when(F.col("top_px") != "", F.concat(F.lit("Common procedures: "), "top_px")),
-            F.concat(F.lit("Average claim amount $"), F.format_string("%.2f", "avg_claim_amount")),
+            F.concat(F.lit("Average claim amount $"), mean.cast("string")),
             F.when(F.size("flags") > 0, F.concat(F.lit("Red flags: "), F.concat_ws("; ", "flags"))).otherwise(
                 "No red flags detected"
             ),

@@ -112,7 +112,7 @@ def _top(column):
           || CASE WHEN provider_count_90d <> 1 THEN 'across ' || provider_count_90d || ' providers' ELSE 'with 1 provider' END
           || '. over ' || (date_range_end - date_range_start) || ' days'
           || coalesce('. Primary diagnoses: ' || d.codes, '') || coalesce('. Common procedures: ' || p.codes, '')
-          || '. Average claim amount $' || printf('%.2f', round(avg_claim_amount, 2)) || '. '
+          || '. Average claim amount $' || round(avg_claim_amount::DECIMAL(18,6), 2)::DECIMAL(18,2) || '. '
           || CASE WHEN provider_count_30d >= 5 THEN 'Red flags: Doctor shopping: ' || provider_count_30d
                || ' providers in 30 days' ELSE 'No red flags detected' END || '.' AS narrative
         FROM ranges JOIN windows USING (patient_id) LEFT JOIN {_top("diagnosis_codes")} d USING (patient_id)
