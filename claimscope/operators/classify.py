@@ -324,7 +324,8 @@ def mutual_information(rows: DataFrame, features: list[str], label: str, bins: i
     def binned(c: str) -> Column:
         low, high = float(spans[f"{c}_lo"]), float(spans[f"{c}_hi"])
         width = (high - low) or 1.0
-        return F.least(F.floor((F.col(c) - low) / width * bins), F.lit(bins - 1)).cast("long")
+        place = F.least(F.floor((F.col(c) - low) / width * bins), F.lit(bins - 1)).cast("long")
+        return F.when(F.col(c).isNotNull(), place)
 
     long = rows.select(
         F.col(label).cast("boolean").alias("y"),

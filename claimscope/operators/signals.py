@@ -65,7 +65,7 @@ def inconsistent_history(claims: DataFrame) -> DataFrame:
         .groupBy("claim_id")
         .agg(F.avg((F.col("seen") / F.col("history") < 0.10).cast("double")).alias("share"))
     )
-    strength = F.coalesce(capped(F.col("share") * 0.80), F.lit(0.40))
+    strength = F.when(F.col("share").isNotNull(), capped(F.col("share") * 0.80)).otherwise(0.40)
     return _signal(claims.join(rare, "claim_id", "left"), "claim_id", "inconsistent_enrichment", strength)
 
 

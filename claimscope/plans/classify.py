@@ -115,16 +115,14 @@ def saved_probabilities(spark, sf_dir):
 
 @registry.query(
     over_claims(
-        """SELECT claim_id, round(p, 6) AS ensemble_probability, (p >= 0.5::DOUBLE)::BIGINT AS ensemble_prediction
+        """SELECT claim_id, p AS ensemble_probability, (p >= 0.5::DOUBLE)::BIGINT AS ensemble_prediction
         FROM (SELECT claim_id, (by_amount + by_provider + by_flags) / 3 AS p FROM saved)""",
         *_SAVED,
     )
 )
 def soft_vote_of_saved_probabilities(spark, sf_dir):
     out = C.soft_vote(saved_probabilities(spark, sf_dir), ["by_amount", "by_provider", "by_flags"])
-    return out.select(
-        "claim_id", rounded(F.col("ensemble_probability")).alias("ensemble_probability"), "ensemble_prediction"
-    )
+    return out.select("claim_id", "ensemble_probability", "ensemble_prediction")
 
 
 _METRICS_SQL = """SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
@@ -152,35 +150,33 @@ def _rounded_metrics(out):
 
 
 @registry.query(
-    over_claims(_METRICS_SQL, *_SAVED, "scores AS (SELECT fraud_indicator, round(by_amount, 6) AS s FROM saved)")
+    over_claims(_METRICS_SQL, *_SAVED, "scores AS (SELECT fraud_indicator, by_amount AS s FROM saved)")
 )
 def classification_metrics(spark, sf_dir):
-    rows = saved_probabilities(spark, sf_dir).withColumn("by_amount", rounded(F.col("by_amount")))
-    return _rounded_metrics(C.evaluate(materialise(rows), "by_amount", LABEL))
+    return _rounded_metrics(C.evaluate(materialise(saved_probabilities(spark, sf_dir)), "by_amount", LABEL))
 
 
 @registry.query(
     over_claims(
-        "WITH t AS (" + " UNION ALL ".join(
-            f"SELECT '{c}' AS model, * FROM ({_METRICS_SQL.replace('FROM scores', f'FROM scores_{c}')})"
-            for c in ("by_amount", "by_provider", "by_flags")
-        ) + """) SELECT model, accuracy, false_positive_rate, f1, accuracy >= 0.94::DOUBLE AS meets_accuracy,
-          false_positive_rate <= 0.038::DOUBLE AS meets_fpr,
-          accuracy >= 0.94::DOUBLE AND false_positive_rate <= 0.038::DOUBLE AS meets_targets,
-          (SELECT model FROM t ORDER BY f1 DESC, model DESC LIMIT 1) AS best_model FROM t""",
+        """SELECT model, accuracy, false_positive_rate, f1, accuracy >= 0.94::DOUBLE AS meets_accuracy,
+        false_positive_rate <= 0.038::DOUBLE AS meets_fpr,
+        accuracy >= 0.94::DOUBLE AND false_positive_rate <= 0.038::DOUBLE AS meets_targets,
+        (SELECT model FROM compared ORDER BY f1 DESC, model DESC LIMIT 1) AS best_model FROM compared""",
         *_SAVED,
-        *[
-            f"scores_{c} AS (SELECT fraud_indicator, round({c}, 6) AS s FROM saved)"
+        *[f"scores_{c} AS (SELECT fraud_indicator, {c} AS s FROM saved)" for c in ("by_amount", "by_provider", "by_flags")],
+        "compared AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS model, * FROM ({_METRICS_SQL.replace('FROM scores', f'FROM scores_{c}')})"
             for c in ("by_amount", "by_provider", "by_flags")
-        ],
+        )
+        + ")",
     )
 )
 def target_check_and_best_model(spark, sf_dir):
     rows = materialise(saved_probabilities(spark, sf_dir))
     tables = None
     for name in ("by_amount", "by_provider", "by_flags"):
-        scored = rows.withColumn(name, rounded(F.col(name)))
-        found = _rounded_metrics(C.evaluate(scored, name, LABEL)).withColumn("model", F.lit(name))
+        found = _rounded_metrics(C.evaluate(rows, name, LABEL)).withColumn("model", F.lit(name))
         tables = found if tables is None else tables.unionByName(found)
     checked = C.target_check(materialise(tables))
     best = C.best_model(checked).first()["best_model"]

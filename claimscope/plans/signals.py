@@ -79,7 +79,7 @@ def signal_coding_violation(spark, sf_dir):
 @registry.query(
     over_claims(
         """SELECT c.claim_id AS subject, 'inconsistent_enrichment' AS signal_type,
-        round(coalesce(least(1, share * 0.8), 0.4)::DOUBLE, 3) AS signal_strength FROM claims c LEFT JOIN (
+        round((CASE WHEN share IS NULL THEN 0.4 ELSE least(1, share * 0.8) END)::DOUBLE, 3) AS signal_strength FROM claims c LEFT JOIN (
           SELECT claim_id, avg((seen / history < 0.1::DOUBLE)::INTEGER) AS share FROM coded
           JOIN (SELECT provider_id, code, count(*) AS seen FROM coded GROUP BY 1, 2) USING (provider_id, code)
           JOIN (SELECT provider_id, count(*) AS history FROM claims GROUP BY 1) USING (provider_id) GROUP BY 1) r
