@@ -13,10 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimscope import constants as K
-from claimscope.functions.columns import count_in, empty_texts, lookup, or_empty, texts
+from claimscope.functions.columns import empty_texts, lookup, or_empty, texts
 from claimscope.functions.skew import GROUP_LIMIT, over_recent, with_sequence
 
 RULE_COLUMNS = [
@@ -96,26 +95,19 @@ def same_day_overlaps(claims: DataFrame) -> DataFrame:
 def similar_accidents(claims: DataFrame, more_than: int = 3) -> DataFrame:
     """Claims sharing a diagnosis with more than ``more_than`` auto claims.
 
-    Only the first ``more_than + 1`` auto claims per code are kept: a claim reaches the
-    limit through them exactly if it reaches it at all.
+    A code of more auto claims than that decides by itself, and only the claims of rarer
+    codes, at most ``more_than`` per code, are listed and counted together.
     """
     coded = claims.select("claim_id", "claim_type", F.explode("diagnosis_codes").alias("code"))
-    first = Window.partitionBy("code").orderBy("claim_id")
-    kept = (
-        coded.where("claim_type = 'auto'")
-        .select("code", "claim_id")
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= more_than + 1)
-        .groupBy("code")
-        .agg(F.collect_list("claim_id").alias("auto_claims"))
-    )
-    return (
-        coded.join(kept, "code")
-        .select("claim_id", F.explode("auto_claims").alias("auto_claim"))
-        .groupBy("claim_id")
-        .agg((F.size(F.collect_set("auto_claim")) > more_than).alias("many_similar"))
-        .where("many_similar")
+    autos = coded.where("claim_type = 'auto'").select("code", "claim_id")
+    counts = autos.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.where(F.col("n") > more_than).select("code", F.lit(None).cast("string").alias("auto_claim"))
+    rare = autos.join(counts.where(F.col("n") <= more_than).select("code"), "code", "left_semi").select(
+        "code", F.col("claim_id").alias("auto_claim")
     )
+    met = coded.select("claim_id", "code").join(common.unionByName(rare), "code")
+    enough = F.bool_or(F.col("auto_claim").isNull()) | (F.count_distinct("auto_claim") > more_than)
+    return met.groupBy("claim_id").agg(enough.alias("many_similar")).where("many_similar")
 
 
 def doctor_shopping(
@@ -222,14 +214,16 @@ def _items(found: Column, worth: int, text) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(worth).alias("points"), text(x).alias("text")))
 
 
-def _flags_with(words: list[str]) -> Column:
+def _flagged(words: list[str], worth: int, text) -> Column:
+    """One piece of evidence per red flag with any of the words; most claims have no flag."""
+
     def mentions(flag: Column) -> Column:
         found = F.lit(False)
         for word in words:
             found = found | F.lower(flag).contains(word)
         return found
 
-    return F.filter(or_empty("red_flags"), mentions)
+    return F.when(F.size("red_flags") > 0, _items(F.filter("red_flags", mentions), worth, text))
 
 
 def _number(column: Column) -> Column:
@@ -242,7 +236,7 @@ def is_progression(codes: Column) -> Column:
     numbers = F.array_compact(digits)
     n = F.size(numbers)
     run = (F.size(F.array_distinct(numbers)) == n) & (F.array_max(numbers) - F.array_min(numbers) == n - 1)
-    return (n >= 2) & run
+    return F.when(F.size(codes) < 2, False).otherwise((n >= 2) & run)
 
 
 def expected_amount(codes: Column) -> Column:
@@ -254,25 +248,27 @@ def expected_amount(codes: Column) -> Column:
 
 
 def _upcoding(limits: dict) -> list[Column]:
-    px, dx, amount = or_empty("procedure_codes"), or_empty("diagnosis_codes"), F.col("billed_amount")
-    complex_px = F.filter(px, lambda c: c.isin(K.HIGH_COMPLEXITY_PROCEDURES))
-    simple_dx = F.filter(dx, lambda c: c.isin(K.SIMPLE_DIAGNOSES))
-    pairs = F.flatten(
-        F.transform(complex_px, lambda p: F.transform(simple_dx, lambda d: F.struct(p.alias("p"), d.alias("d"))))
-    )
+    px, dx, amount = F.col("px"), F.col("dx"), F.col("billed_amount")
+    complex_px = F.array_intersect(px, texts(K.HIGH_COMPLEXITY_PROCEDURES))
+    simple_dx = F.array_intersect(dx, texts(K.SIMPLE_DIAGNOSES))
+
+    def found(p: Column) -> Column:
+        return F.transform(
+            simple_dx,
+            lambda d: F.struct(
+                F.lit(30).alias("points"),
+                F.concat(F.lit("High complexity procedure "), p, F.lit(" for simple diagnosis "), d).alias("text"),
+            ),
+        )
+
     most = F.size(px) * (K.AVERAGE_PROCEDURE_COST * limits["suspicious_amount_multiplier"])
     return [
-        _items(
-            pairs, 30,
-            lambda x: F.concat(
-                F.lit("High complexity procedure "), x["p"], F.lit(" for simple diagnosis "), x["d"]
-            ),
-        ),
+        F.when(F.arrays_overlap(dx, texts(K.SIMPLE_DIAGNOSES)), F.flatten(F.transform(complex_px, found))),
         _item(
             amount > most, 40,
             F.concat(F.lit("Billed amount $"), _number(amount), F.lit(" excessive for procedures")),
         ),
-        _item(is_progression(px), 30, F.lit("Suspicious procedure code progression detected")),
+        _item(F.col("progression"), 30, F.lit("Suspicious procedure code progression detected")),
     ]
 
 
@@ -300,12 +296,14 @@ def _schedule(limits: dict) -> list[Column]:
             ~known | (clock.isNotNull() & hour.isNull()), 20,
             F.concat(F.lit("Invalid date format: "), F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(""))),
         ),
-        _items(
-            F.filter(
-                or_empty("red_flags"),
-                lambda f: F.lower(f).contains("address") & F.lower(f).contains("exist"),
+        F.when(
+            F.size("red_flags") > 0,
+            _items(
+                F.filter(
+                    "red_flags", lambda f: F.lower(f).contains("address") & F.lower(f).contains("exist")
+                ),
+                60, lambda f: F.lit("Patient address validation failed"),
             ),
-            60, lambda f: F.lit("Patient address validation failed"),
         ),
     ]
 
@@ -316,15 +314,14 @@ def _location(limits: dict) -> list[Column]:
     )
     return [
         _item(ghost, 90, F.lit("Ghost patient or fraudulent provider ID detected")),
-        _items(
-            _flags_with(["appointment", "records", "closed"]), 30,
-            lambda f: F.concat(F.lit("Location issue: "), f),
+        _flagged(
+            ["appointment", "records", "closed"], 30, lambda f: F.concat(F.lit("Location issue: "), f)
         ),
     ]
 
 
 def _unbundling(limits: dict) -> list[Column]:
-    px = or_empty("procedure_codes")
+    px = F.col("px")
     bundles = [
         _item(
             F.size(F.array_intersect(px, texts(codes))) > 1, 40,
@@ -354,8 +351,7 @@ def _unbundling(limits: dict) -> list[Column]:
 
 
 def _accident(limits: dict) -> list[Column]:
-    dx = or_empty("diagnosis_codes")
-    concerned = (F.col("claim_type") == "auto") | F.arrays_overlap(dx, texts(K.AUTO_INJURY_CODES))
+    dx, concerned = F.col("dx"), F.col("accident_concerned")
     pattern = F.lit(False)
     for codes in K.STAGED_PATTERNS:
         pattern = pattern | (F.size(F.array_except(texts(codes), dx)) == 0)
@@ -363,8 +359,8 @@ def _accident(limits: dict) -> list[Column]:
         _item(concerned & F.col("many_similar"), 40, F.lit("Multiple similar auto accidents")),
         F.when(
             concerned,
-            _items(
-                _flags_with(["relationship", "prior", "staged"]), 50,
+            _flagged(
+                ["relationship", "prior", "staged"], 50,
                 lambda f: F.concat(F.lit("Staged accident indicator: "), f),
             ),
         ),
@@ -373,17 +369,19 @@ def _accident(limits: dict) -> list[Column]:
 
 
 def _prescription(limits: dict) -> list[Column]:
-    px, dx = or_empty("procedure_codes"), or_empty("diagnosis_codes")
-    prescribed = count_in(px, K.PRESCRIPTION_CODES)
-    adequate = F.arrays_overlap(dx, texts(K.ADEQUATE_DIAGNOSES))
+    px, prescribed = F.col("px"), F.col("prescribed")
+    adequate = F.arrays_overlap("dx", texts(K.ADEQUATE_DIAGNOSES))
     return [
         _item(
             prescribed > limits["prescription_daily_limit"], 50,
             F.concat(F.lit("Excessive prescription count: "), _number(prescribed)),
         ),
-        _items(
-            F.filter(px, lambda c: c.isin(K.CONTROLLED_CODES) & ~adequate), 60,
-            lambda c: F.concat(F.lit("Controlled substance "), c, F.lit(" without adequate diagnosis")),
+        F.when(
+            F.arrays_overlap(px, texts(K.CONTROLLED_CODES)) & ~adequate,
+            _items(
+                F.filter(px, lambda c: c.isin(K.CONTROLLED_CODES)), 60,
+                lambda c: F.concat(F.lit("Controlled substance "), c, F.lit(" without adequate diagnosis")),
+            ),
         ),
         _item(F.col("shopping"), 70, F.lit("Doctor shopping pattern detected")),
     ]
@@ -397,8 +395,8 @@ def _kickback(limits: dict) -> list[Column]:
             F.concat(F.lit("High referral concentration: "), F.format_string("%.2f", share)),
         ),
         _item(F.col("circular"), 50, F.lit("Circular referral pattern detected")),
-        _items(
-            _flags_with(["kickback", "referral", "relationship"]), 60,
+        _flagged(
+            ["kickback", "referral", "relationship"], 60,
             lambda f: F.concat(F.lit("Kickback indicator: "), f),
         ),
     ]
@@ -418,7 +416,7 @@ def _frequency(limits: dict) -> list[Column]:
 
 
 def _amount(limits: dict) -> list[Column]:
-    amount, expected = F.col("billed_amount"), expected_amount(or_empty("procedure_codes"))
+    amount, expected = F.col("billed_amount"), F.col("expected")
     return [
         _item(
             amount > limits["max_amount_per_claim"], 50,
@@ -449,6 +447,23 @@ BUILDERS = {
     "amount_anomaly": _amount,
 }
 
+# columns several rules or several parts of a rule use: name -> (claim column, expression)
+_SHARED = {
+    "px": ("procedure_codes", lambda: or_empty("procedure_codes")),
+    "dx": ("diagnosis_codes", lambda: or_empty("diagnosis_codes")),
+}
+_DERIVED = {
+    "upcoding_complexity": {"progression": lambda: is_progression(F.col("px"))},
+    "staged_accident_pattern": {
+        "accident_concerned": lambda: (F.col("claim_type") == "auto")
+        | F.arrays_overlap("dx", texts(K.AUTO_INJURY_CODES))
+    },
+    "prescription_fraud_volume": {
+        "prescribed": lambda: F.size(F.array_intersect("px", texts(K.PRESCRIPTION_CODES)))
+    },
+    "amount_anomaly": {"expected": lambda: expected_amount(F.col("px"))},
+}
+
 _NO_EVIDENCE = "array<struct<points:int,text:string>>"
 
 
@@ -477,8 +492,12 @@ def _evaluated(claims: DataFrame, config: RuleConfig, names: list[str]) -> DataF
             F.lit(points(rule["weight"])).alias("weight"),
         )
 
+    rows = with_context(claims, config, names)
+    shared = {n: build() for n, (c, build) in _SHARED.items() if c in claims.columns}
+    derived = {n: build() for name in names for n, build in _DERIVED.get(name, {}).items()}
     return (
-        with_context(claims, config, names)
+        rows.withColumns(shared)
+        .withColumns(derived)
         .select("claim_id", *[evidence(name).alias(name) for name in names])
         .select("*", *[total(name).alias(f"{name}_points") for name in names])
         .select("claim_id", F.array(*[result(name) for name in names]).alias("results"))

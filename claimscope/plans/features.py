@@ -8,7 +8,7 @@ from claimscope.operators import features as X
 from claimscope.operators import text as T
 from claimscope.plans.claims_sql import case_map, in_list, over_claims, quoted, text_list
 from claimscope.plans.registry import Registry
-from claimscope.sources.tables import claims, table
+from claimscope.sources.tables import claims, spread, table
 
 registry = Registry()
 
@@ -261,7 +261,7 @@ def amount_percentile_ranks(spark, sf_dir):
     + " FROM documents"
 )
 def note_text_features(spark, sf_dir):
-    notes = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("notes"))
+    notes = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("notes"))
     return T.text_features(notes, "doc_id")
 
 
@@ -287,7 +287,7 @@ SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))
 
 @registry.query(_TFIDF)
 def note_tfidf(spark, sf_dir):
-    notes = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("notes"))
+    notes = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("notes"))
     return T.tfidf(notes, "doc_id", stop_words=STOP_WORDS).withColumn("weight", rounded(F.col("weight")))
 
 

@@ -142,8 +142,13 @@ def load_claims(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def quarantined(raw: DataFrame) -> DataFrame:
-    """Records that could not be read, with their file."""
-    return raw.where(F.col(CORRUPT).isNotNull()).select("file_path", F.col(CORRUPT).alias("record"))
+    """Records that could not be read, with their file.
+
+    The filter also looks at the claims, because Spark does not parse a file for the
+    corrupt-record column alone.
+    """
+    read = F.coalesce(F.size("claims"), F.lit(0)) >= 0
+    return raw.where(F.col(CORRUPT).isNotNull() & read).select("file_path", F.col(CORRUPT).alias("record"))
 
 
 def load_claim_type(spark: SparkSession, path: str, claim_type: str, **options) -> DataFrame:
