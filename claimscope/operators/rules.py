@@ -63,35 +63,61 @@ def points(value: float) -> int:
 # --- values drawn from other claims ----------------------------------------------
 
 
-def same_day_overlaps(claims: DataFrame) -> DataFrame:
+DAY = ["patient_id", "provider_id", "date_of_service"]
+MAX_LISTS = 200
+
+
+def same_day_overlaps(claims: DataFrame, max_lists: int = MAX_LISTS) -> DataFrame:
     """Other claims of the same patient, provider and day that share a procedure code.
 
-    Claims with equal code lists are first counted together, so copies cost one row; each
-    overlapping pair of lists is counted once, at its smallest shared code.
+    Claims with equal code lists are counted together, so copies cost one row. Days of at
+    most ``max_lists`` different lists compare those lists with each other; on fuller days
+    the claims having a code are held as bitmaps, and a list joins the bitmaps of its codes.
     """
-    keys = ["patient_id", "provider_id", "date_of_service"]
     rows = claims.where("provider_id IS NOT NULL AND size(procedure_codes) > 0").select(
-        *keys, F.array_sort(F.array_distinct("procedure_codes")).alias("codes")
+        "claim_id", *DAY, F.array_sort(F.array_distinct("procedure_codes")).alias("codes")
     )
-    lists = rows.groupBy(*keys, "codes").agg(F.count(F.lit(1)).alias("n"))
-    shared_days = (
-        lists.groupBy(*keys).agg(F.sum("n").alias("day_claims")).where("day_claims > 1").drop("day_claims")
-    )
-    lists = lists.join(shared_days, keys, "left_semi")
-    left = lists.select(*keys, "codes", F.explode("codes").alias("code"))
-    right = left.alias("r").join(lists.withColumnRenamed("n", "others"), [*keys, "codes"]).select(
-        *keys, "code", F.col("codes").alias("other_codes"), "others"
+    lists = rows.groupBy(*DAY, "codes").agg(F.count(F.lit(1)).alias("n"))
+    days = lists.groupBy(*DAY).agg(F.sum("n").alias("claims"), F.count(F.lit(1)).alias("lists"))
+    shared = days.where("claims > 1")
+    few = lists.join(shared.where(F.col("lists") <= max_lists).select(*DAY), DAY, "left_semi")
+    found = _overlaps_of_few(few)
+    if (days.agg(F.max("lists")).first()[0] or 0) > max_lists:
+        full = shared.where(F.col("lists") > max_lists).select(*DAY)
+        found = found.unionByName(_overlaps_of_many(rows.join(full, DAY, "left_semi")))
+    return found.where("overlaps > 0")
+
+
+def _overlaps_of_few(lists: DataFrame) -> DataFrame:
+    """Lists compared pairwise; each pair counts once, at its smallest shared code."""
+    left = lists.select(*DAY, "codes", F.explode("codes").alias("code"))
+    right = lists.select(
+        *DAY, F.col("codes").alias("other_codes"), F.col("n").alias("others"), F.explode("codes").alias("code")
     )
     smallest = F.array_min(F.array_intersect("codes", "other_codes")) == F.col("code")
     return (
-        left.join(right, [*keys, "code"])
+        left.join(right, [*DAY, "code"])
         .where(smallest)
-        .groupBy(*keys, "codes")
+        .groupBy(*DAY, "codes")
         .agg((F.sum("others") - 1).alias("overlaps"))
-        .where("overlaps > 0")
     )
 
 
+def _overlaps_of_many(rows: DataFrame) -> DataFrame:
+    """Bitmaps of the day's claims per code, joined per list and counted."""
+    placed = with_sequence(rows, DAY, ["claim_id"], "place").select("*", F.explode("codes").alias("code"))
+    by_code = placed.groupBy(*DAY, "code", F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    lists = rows.select(*DAY, "codes").distinct().select("*", F.explode("codes").alias("code"))
+    reached = (
+        lists.join(by_code, [*DAY, "code"])
+        .groupBy(*DAY, "codes", "bucket")
+        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("claims"))
+    )
+    return reached.groupBy(*DAY, "codes").agg((F.sum("claims") - 1).alias("overlaps"))
+
+
 def similar_accidents(claims: DataFrame, more_than: int = 3) -> DataFrame:
     """Claims sharing a diagnosis with more than ``more_than`` auto claims.
 
@@ -178,10 +204,9 @@ def with_context(claims: DataFrame, config: RuleConfig, names: list[str]) -> Dat
     limits = config.thresholds
     rows = claims
     if "unbundling_detection" in names:
-        keys = ["patient_id", "provider_id", "date_of_service"]
         found = same_day_overlaps(claims).withColumnRenamed("codes", "sorted_codes")
         rows = rows.withColumn("sorted_codes", F.array_sort(F.array_distinct("procedure_codes")))
-        rows = rows.join(found, [*keys, "sorted_codes"], "left").drop("sorted_codes")
+        rows = rows.join(found, [*DAY, "sorted_codes"], "left").drop("sorted_codes")
     if "staged_accident_pattern" in names:
         rows = rows.join(similar_accidents(claims), "claim_id", "left")
     if "prescription_fraud_volume" in names:

@@ -11,15 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of the session; a private one only on a local master."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="claimscope-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="claimscope-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -106,6 +106,9 @@ def test_overlaps_equal_brute_force(spark):
     ]
     df = claims(spark, *data)
     got = R.with_context(df, R.RuleConfig(), ["unbundling_detection"]).select("claim_id", "overlaps").collect()
+    order = [*R.DAY, "codes", "overlaps"]
+    few, many = (sorted(R.same_day_overlaps(df, n).select(*order).collect()) for n in (200, 1))
+    assert few == many
     rows = df.select("claim_id", "patient_id", "procedure_codes").collect()
     for claim_id, overlaps in got:
         me = next(r for r in rows if r["claim_id"] == claim_id)
