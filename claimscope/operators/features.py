@@ -18,6 +18,8 @@ from claimscope.functions.skew import (
     with_sequence,
     with_sorted_code,
 )
+from claimscope.operators.graph import graph_features
+from claimscope.operators.text import text_features
 
 NO_PREVIOUS = 999
 
@@ -259,6 +261,16 @@ def combine(families: list[DataFrame]) -> DataFrame:
     return reduce(add, families)
 
 
+def network_features(claims: DataFrame) -> DataFrame:
+    """Graph measures of the claim's provider, 0 without one, and its referrals."""
+    measures = graph_features(claims.select("patient_id", "provider_id"))
+    names = [c for c in measures.columns if c != "provider_id"]
+    placed = claims.join(measures, "provider_id", "left").select(
+        "claim_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]
+    )
+    return combine([placed, referral_features(claims)])
+
+
 FAMILIES = {
     "basic": basic_features,
     "temporal": lambda claims: combine(
@@ -277,7 +289,8 @@ FAMILIES = {
     "statistical": lambda claims: combine(
         [provider_statistics(claims), patient_statistics(claims), iqr_outliers(claims), percentile_ranks(claims)]
     ),
-    "referral": referral_features,
+    "network": network_features,
+    "text": text_features,
 }
 
 

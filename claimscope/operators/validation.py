@@ -197,7 +197,12 @@ def _findings_column(rules: dict[str, RowRule], as_of: str) -> Column:
 
 
 def row_findings(claims: DataFrame, rules: dict[str, RowRule], as_of: str) -> DataFrame:
-    """All findings of a set of per-row rules from one scan."""
+    """All findings of a set of per-row rules from one scan.
+
+    A single rule also filters the rows, which reaches the file scan.
+    """
+    if len(rules) == 1:
+        claims = claims.where(next(iter(rules.values())).fires(as_of))
     return claims.select("claim_id", F.inline(_findings_column(rules, as_of)))
 
 

@@ -243,6 +243,23 @@ def test_tfidf_by_hand(spark):
     assert out == {("1", "pain"): 1.0, ("2", "pain"): 1.0}
 
 
+def test_all_families_side_by_side(spark):
+    day = datetime.date(2024, 1, 1)
+    rows = [
+        (f"C{i}", f"P{i % 2}", f"R{i % 3}", day + datetime.timedelta(days=i), float(i * 100), ["99213"], ["I10"], ["x"], "urgent pain")
+        for i in range(6)
+    ]
+    schema = (
+        "claim_id string, patient_id string, provider_id string, date_of_service date, billed_amount double, "
+        "procedure_codes array<string>, diagnosis_codes array<string>, red_flags array<string>, notes string"
+    )
+    wide = features.feature_table(spark.createDataFrame(rows, schema).withColumn("billed_amount", F.col("billed_amount").cast("decimal(12,2)")))
+    assert wide.count() == 6 and len(wide.columns) == len(set(wide.columns)) > 45
+    first = wide.where("claim_id = 'C3'").first()
+    assert first["provider_connections"] == 2 and first["contains_urgent"] == 1
+    assert first["claim_sequence_position"] == 2 and first["days_between_patient_claims"] == 2
+
+
 def test_service_hours_defaults(spark):
     out = features.service_hours(spark.createDataFrame([("a",)], "claim_id string")).first()
     assert (out["hour_of_service"], out["is_after_hours"], out["rendering_hours"], out["rendering_hours_log"]) == (12, 0, 1.0, 0.0)
