@@ -6,7 +6,7 @@ from claimscope import constants as K
 from claimscope.functions.columns import rounded
 from claimscope.operators import features as X
 from claimscope.operators import text as T
-from claimscope.plans.claims_sql import case_map, in_list, over_claims, quoted, text_list
+from claimscope.plans.claims_sql import case_map, in_list, over_claims, text_list
 from claimscope.plans.registry import Registry
 from claimscope.sources.tables import claims, spread, table
 

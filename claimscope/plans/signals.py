@@ -1,7 +1,5 @@
 """Fraud signal queries."""
 
-from pyspark.sql import functions as F
-
 from claimscope.operators import missing as M
 from claimscope.operators import signals as S
 from claimscope.plans.claims_sql import over_claims

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.operators import validation as V
-from claimscope.plans.claims_sql import in_list, over_claims, quoted, text_list
+from claimscope.plans.claims_sql import over_claims, quoted, text_list
 from claimscope.plans.registry import Registry
 from claimscope.sources.tables import claims, table
 
