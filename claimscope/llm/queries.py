@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import sentencepiece_codec, simhash
+from claimscope.llm import relative_lz, sentencepiece_codec, simhash
 from claimscope.plans.registry import Registry
 
 registry = Registry()
@@ -15,6 +15,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@registry.query(
+    r"""
+    WITH numbered AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS said
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM numbered WHERE len(w) >= 20)
+    ), later AS (
+        SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY said ORDER BY doc_id, i) AS nth FROM windows
+        ) WHERE nth > 1
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later
+    ), kept AS (
+        SELECT n.doc_id, count(*) AS n_kept, string_agg(n.word, ' ' ORDER BY n.i) AS said
+        FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM numbered) n
+        ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i
+        GROUP BY n.doc_id
+    )
+    SELECT n.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(said, '')) AS kept_sha256
+    FROM numbered n LEFT JOIN kept k ON n.doc_id = k.doc_id
+    """
+)
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of 20-word windows that also start earlier."""
+    found = relative_lz.without_repeats(documents(spark, sf_dir), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @registry.query()
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, how many there are, how many are bytes, and whether they decode to the text."""
