@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import relative_lz, sentencepiece_codec, simhash
+from claimscope.llm import inverted_index, relative_lz, sentencepiece_codec, simhash
 from claimscope.plans.registry import Registry
 
 registry = Registry()
@@ -15,6 +15,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@registry.query(
+    rf"""
+    WITH said AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), asked AS (
+        SELECT item_id, regexp_extract_all(translate(text, {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), phrases AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS p
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM asked WHERE len(w) > 0)
+    ), windows AS (
+        SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM said, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)
+    ), found AS (
+        SELECT windows.*, item_id FROM windows JOIN phrases USING (n, p)
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS i FROM found) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+    )
+    SELECT said.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM said LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """
+)
+def op1_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in 10-word windows of benchmark items."""
+    found = inverted_index.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), phrase_words=10)
+    items = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @registry.query(
     r"""
     WITH numbered AS (
