@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import inverted_index, relative_lz, sentencepiece_codec, simhash
+from claimscope.llm import interleaving, inverted_index, relative_lz, sentencepiece_codec, simhash
 from claimscope.plans.registry import Registry
 
 registry = Registry()
@@ -87,6 +87,36 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir))
 
 
+@registry.query(
+    """
+    WITH steps AS (
+        SELECT list(c ORDER BY b) AS t FROM (
+            SELECT b, list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+            FROM range(256) r(b)
+        )
+    ), sums AS (
+        SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS digits FROM documents
+    ), rows AS (
+        SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, size), lambda i: ('0x' || digits[2 * i - 1:2 * i])::UBIGINT)),
+            lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) AS text_crc32,
+            ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT AS h
+        FROM sums, steps
+    ), ranked AS (
+        SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction FROM rows
+    ), placed AS (
+        SELECT *, row_number() OVER (ORDER BY fraction, h, doc_id, text_crc32, size) - 1 AS position, count(*) OVER () AS n FROM ranked
+    )
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(position * 16 // n AS INTEGER) AS shard,
+        CAST(position - ((position * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM placed
+    """
+)
+def op5_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of equal row counts, each with the mixture of the sources."""
+    found = interleaving.interleave(documents(spark, sf_dir), shards=16, seed=0)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @registry.query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints are linked at two or fewer differing bits."""
