@@ -63,11 +63,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
+        return self.beginnings((None,))[0]
+
+    def beginnings(self, lengths: tuple[int | None, ...]) -> list[np.ndarray]:
+        """For each length a 64-bit hash of each word's first bytes; None takes the whole word."""
         n = len(self.data)
         powers, inverse = _powers(_BYTE_BASE, n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        found = []
+        for length in lengths:
+            ends = self.ends if length is None else np.minimum(self.starts + length, self.ends)
+            found.append(mix((total[ends] - total[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64)))
+        return found
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import interleaving, inverted_index, relative_lz, sentencepiece_codec, simhash
+from claimscope.llm import fertility, interleaving, inverted_index, relative_lz, sentencepiece_codec, simhash, toxicity
 from claimscope.plans.registry import Registry
 
 registry = Registry()
@@ -122,3 +122,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints are linked at two or fewer differing bits."""
     found = simhash.near_copies(documents(spark, sf_dir), words_per_shingle=3, radius=2, seed=42)
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@registry.query()
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document, the plain rules, and the verdict of the bands of its language."""
+    return fertility.quality(documents(spark, sf_dir))
+
+
+def _remainder(id_column: str, by: int):
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % by
+
+
+@registry.query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of the two thirds that are not held out."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.filter(_remainder("doc_id", 3) != 1))
+    found = toxicity.score(docs, model)
+    held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_sentences", "offending")
