@@ -23,12 +23,15 @@ from claimscope.session import materialise
 PIECE_BYTES = 2 << 20
 
 #: Width of the bands: quartiles, and so many times their distance beyond them.
-REACH = 6.0
+REACH = 3.0
 
 #: The quartiles' distance counts as at least this part of the median (or of 1 for shares).
-LEAST_SPREAD = 0.05
+LEAST_SPREAD = 0.01
 
-#: Figures of shorter texts say little; the bands are for texts of so many tokens.
+#: The width is for texts of so many tokens; it grows as a mean's error does where a text has fewer.
+BAND_TOKENS = 2000
+
+#: Texts of fewer tokens are not measured against the bands at all.
 LEAST_TOKENS = 50
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -130,7 +133,7 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
 
 
 def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
-    """For each band_key (language, else script) the least and the greatest value of each measure that is kept.
+    """For each band_key (language, else script) the middle of each measure's band and half its width.
 
     Quartiles are exact over all rows of the key, of figures rounded to thousandths, so that a
     key's counts stay few and come together before the shuffle.
@@ -141,7 +144,7 @@ def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
     for m in _MEASURES:
         low, middle, high = (F.col(m)[i] for i in range(3))
         spread = F.greatest(high - low, LEAST_SPREAD * (F.lit(1.0) if m == "byte_share" else middle))
-        columns += [(low - reach * spread).alias(f"{m}_least"), (high + reach * spread).alias(f"{m}_most")]
+        columns += [((low + high) / 2).alias(f"{m}_middle"), ((high - low) / 2 + reach * spread).alias(f"{m}_width")]
     return found.select("band_key", *columns)
 
 
@@ -159,7 +162,10 @@ def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_c
     measured = materialise(measured.withColumn("base_failed", failed).withColumn("band_key", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))))
     judged = (F.col("n_tokens") >= LEAST_TOKENS) & ~F.col("base_failed")
     limits = bands(measured.filter(judged), reach)
-    out = F.array_compact(F.array(*[F.when(~F.col(m).between(F.col(f"{m}_least"), F.col(f"{m}_most")), F.lit(m)) for m in _MEASURES]))
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(BAND_TOKENS)) / F.col("n_tokens")))
+    # entropy grows with the number of tokens, so only its lower side of the band counts
+    gap = {m: F.col(m) - F.col(f"{m}_middle") if m != "entropy" else F.col(f"{m}_middle") - F.col(m) for m in _MEASURES}
+    out = F.array_compact(F.array(*[F.when((F.abs(gap[m]) if m != "entropy" else gap[m]) > wider * F.col(f"{m}_width"), F.lit(m)) for m in _MEASURES]))
     rated = measured.join(limits, "band_key", "left").withColumn("outside", F.when(judged, F.coalesce(out, F.array())).otherwise(F.array().cast("array<string>")))
     rated = rated.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *_MEASURES, "outside")
