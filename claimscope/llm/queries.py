@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import fertility, interleaving, inverted_index, relative_lz, sentencepiece_codec, simhash, toxicity
+from claimscope.llm import fertility, interleaving, inverted_index, language, relative_lz, sentencepiece_codec, simhash, toxicity
 from claimscope.plans.registry import Registry
 
 registry = Registry()
@@ -51,6 +51,20 @@ def op1_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _remainder(id_column: str, by: int):
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % by
+
+
+@registry.query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the four fifths that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    net = language.train(docs.filter(_remainder("doc_id", 5) != 0))
+    found = language.identify(docs.select("doc_id", "text"), net)
+    held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 @registry.query(
     r"""
     WITH numbered AS (
@@ -130,10 +144,6 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(documents(spark, sf_dir))
 
 
-def _remainder(id_column: str, by: int):
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % by
-
-
 @registry.query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of the two thirds that are not held out."""
