@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import fertility, interleaving, inverted_index, language, relative_lz, reply_trees, sentencepiece_codec, simhash, toxicity
+from claimscope.llm import fertility, interleaving, inverted_index, language, relative_lz, reply_trees, secrets_forest, sentencepiece_codec, simhash, toxicity
 from claimscope.plans.registry import Registry
 
 registry = Registry()
@@ -188,3 +188,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, model)
     held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_sentences", "offending")
+
+
+@registry.query()
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates for secrets in every text, where they are, and which of them are secrets."""
+    return secrets_forest.scan(documents(spark, sf_dir)).select("doc_id", "n_candidates", "n_secrets", "findings")
