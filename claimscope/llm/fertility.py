@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.arrays import NOT_SPACE, mix, ngrams, pieces, utf8, words
 from claimscope.llm.sentencepiece_codec import MODEL, codec, read_model
+from claimscope.llm.tables import small_side
 from claimscope.session import materialise
 
 PIECE_BYTES = 2 << 20
@@ -161,7 +162,7 @@ def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_c
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = materialise(measured.withColumn("base_failed", failed).withColumn("band_key", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))))
     judged = (F.col("n_tokens") >= LEAST_TOKENS) & ~F.col("base_failed")
-    limits = bands(measured.filter(judged), reach)
+    limits = small_side(bands(measured.filter(judged), reach))  # a row for each language or script
     wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(BAND_TOKENS)) / F.col("n_tokens")))
     # entropy grows with the number of tokens, so only its lower side of the band counts
     gap = {m: F.col(m) - F.col(f"{m}_middle") if m != "entropy" else F.col(f"{m}_middle") - F.col(m) for m in _MEASURES}
