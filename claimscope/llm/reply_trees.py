@@ -70,6 +70,7 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     equal ones by leaf id. ``branches`` is how many are taken, None for all. depth counts from 0.
     A message whose parent is missing is a root; one in a circle of parents raises an error.
     """
+    messages = materialise(messages.select("tree_id", "message_id", "parent_id", "role", "text", "score"))
     nodes = messages.select("tree_id", "message_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree_id").alias("t"), F.col("message_id").alias("known"))
     nodes = nodes.join(known, nodes["tree_id"].eqNullSafe(known["t"]) & (nodes["parent_id"] == known["known"]), "left")
@@ -104,7 +105,8 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     for k, pointer in reversed(list(enumerate(pointers))):
         step = pointer.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "up")
         joined = on_path.join(step, on_path["tree_id"].eqNullSafe(step["t"]) & (on_path["message_id"] == step["m"]))
-        on_path = on_path.unionAll(joined.select("tree_id", "branch", F.col("up").alias("message_id"), (F.col("depth") - (1 << k)).alias("depth")))
+        # written each time: the rows go into both sides of the next step
+        on_path = materialise(on_path.unionAll(joined.select("tree_id", "branch", F.col("up").alias("message_id"), (F.col("depth") - (1 << k)).alias("depth"))))
     said = messages.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "role", "text")
     return on_path.join(said, on_path["tree_id"].eqNullSafe(said["t"]) & (on_path["message_id"] == said["m"])).select("tree_id", "branch", "depth", "role", "text")
 
