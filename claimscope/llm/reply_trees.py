@@ -14,6 +14,8 @@ one for each text of an assistant.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,23 +78,26 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     nodes = nodes.join(known, nodes["tree_id"].eqNullSafe(known["t"]) & (nodes["parent_id"] == known["known"]), "left")
     # up: the ancestor at distance `reach`, null beyond the root; total and count: of the messages on the way, itself included
     now = materialise(nodes.select("tree_id", "message_id", F.col("known").alias("up"), "score", F.lit(1).cast("long").alias("count"), F.col("score").alias("total")))
-    pointers = [now.filter("up IS NOT NULL").select("tree_id", "message_id", "up")]
-    parents, size, reach = pointers[0], None, 1
-    while not pointers[-1].isEmpty():
+    parents = now.filter("up IS NOT NULL").select("tree_id", "message_id", "up")
+    pointers, size, reach = [parents], None, 1
+    # messages that have come to their root need no further step
+    active, finished = now.filter("up IS NOT NULL"), [now.filter("up IS NULL")]
+    while not active.isEmpty():
         if size is None:
             size = now.count()
         if reach > size:
             raise ValueError("messages that answer each other in a circle")
-        further = now.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("up").alias("further"), F.col("count").alias("c"), F.col("total").alias("s"))
-        joined = now.join(further, now["tree_id"].eqNullSafe(further["t"]) & (now["up"] == further["m"]), "left")
-        now = materialise(
-            joined.select(
-                "tree_id", "message_id", F.col("further").alias("up"), "score",
-                (F.col("count") + F.coalesce("c", F.lit(0))).alias("count"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"),
-            )
-        )
-        pointers.append(now.filter("up IS NOT NULL").select("tree_id", "message_id", "up"))
+        known = reduce(DataFrame.unionAll, finished, active)
+        further = known.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("up").alias("further"), F.col("count").alias("c"), F.col("total").alias("s"))
+        joined = active.join(further, active["tree_id"].eqNullSafe(further["t"]) & (active["up"] == further["m"]))
+        stepped = materialise(
+            joined.select("tree_id", "message_id", F.col("further").alias("up"), "score", (F.col("count") + F.col("c")).alias("count"), (F.col("total") + F.col("s")).alias("total"))
+        )
+        active = stepped.filter("up IS NOT NULL")
+        finished.append(stepped.filter("up IS NULL"))
+        pointers.append(active.select("tree_id", "message_id", "up"))
         reach *= 2
+    now = reduce(DataFrame.unionAll, finished)
 
     answered = parents.select(F.col("tree_id").alias("t"), F.col("up").alias("answered")).distinct()
     leaves = now.join(answered, now["tree_id"].eqNullSafe(answered["t"]) & (now["message_id"] == answered["answered"]), "left_anti")
