@@ -121,6 +121,6 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         have = tuple(np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _TABLES[base] = have
     return have

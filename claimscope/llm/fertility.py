@@ -21,7 +21,7 @@ from claimscope.llm.sentencepiece_codec import MODEL, codec, read_model
 from claimscope.llm.tables import small_side
 from claimscope.session import materialise
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = (2 << 20) - 1
 
 #: Width of the bands: quartiles, and so many times their distance beyond them.
 REACH = 3.0

@@ -29,7 +29,7 @@ from claimscope.session import materialise
 SEGMENT_WORDS = 1_000_000
 
 #: Bytes of text that are cut into words at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = (2 << 20) - 1
 
 #: Benchmark words that are searched in one pass over the index.
 BLOCK_WORDS = 200_000

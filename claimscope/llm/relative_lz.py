@@ -33,7 +33,7 @@ from claimscope.llm.tables import text_mark
 from claimscope.session import materialise
 
 #: Bytes of text in a batch's own block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = (4 << 20) - 1
 
 #: Words of the k-grams among which a window's anchor is chosen.
 ANCHOR_WORDS = 8

@@ -31,7 +31,7 @@ MODEL_BYTES = 64 << 20
 BATCH_BYTES = 2 << 20
 
 #: Words that a Python worker keeps with their ids; a batch of more is held for as long as it is encoded.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 
 # fixed values: kinds of pieces and of models in the message
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
