@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.llm import fertility, interleaving, inverted_index, language, relative_lz, reply_trees, secrets_forest, sentencepiece_codec, simhash, toxicity
+from claimscope.llm.tables import small_batches
 from claimscope.plans.registry import Registry
 
 registry = Registry()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

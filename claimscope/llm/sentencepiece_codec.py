@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
 
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 #: Words that a Python worker keeps with their ids; a batch of more is held for as long as it is encoded.
 CACHED_WORDS = 300_000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.session import materialise
@@ -11,6 +11,18 @@ from claimscope.session import materialise
 BROADCAST_ROWS = 100_000
 
 
+# fixed values: the settings' names, and the most that one Arrow batch of texts shall hold
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small Arrow batches, so that buffers on both sides stay small; what a user has set stays."""
+    for name, (default, most) in _BATCHES.items():
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or int(now) == default:
+            spark.conf.set(name, str(most))
+
+
 def text_mark(text: Column) -> Column:
     """A short hash of a text, to tell rows apart that share an id."""
     return F.xxhash64(text).bitwiseAND((1 << 31) - 1).cast("int")
