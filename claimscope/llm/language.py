@@ -181,7 +181,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_column
                 of = pa.array(text[keep])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(of), part.column("lang").take(of), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["id", "lang", "bytes"])
 
-    samples = sorted((r["id"], r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(cut, "id string, lang string, bytes binary").collect())
+    samples = sorted((r["id"] or "", r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(cut, "id string, lang string, bytes binary").collect())
     return fit(np.frombuffer(b"".join(x[2] for x in samples), np.uint8).reshape(-1, WINDOW), [x[1] for x in samples])
 
 
