@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,17 +50,21 @@ def running_total(
     inside = (
         Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
+    # a null key has its offsets as any other
+    names = {c: f"_by_{i}" for i, c in enumerate([*by, "_chunk"])}
+    offsets = offsets.withColumnsRenamed(names)
+    same = [chunks[c].eqNullSafe(offsets[name]) for c, name in names.items()]
     return (
-        chunks.join(offsets, [*by, "_chunk"])
+        chunks.join(offsets, reduce(Column.__and__, same))
         .withColumn(out, F.col("_before") + F.sum(weight).over(inside))
-        .drop("_before", "_chunk")
+        .drop("_before", "_chunk", *names.values())
     )
 
 
 def with_sequence(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Number the rows of each key from 1 in ``order``; ``order`` must be total, keys not null."""
+    """Number the rows of each key from 1 in ``order``; ``order`` must be total; null is a key too."""
     keys, order = list(keys), list(order)
     if largest_group(df, keys) <= limit:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -121,25 +126,34 @@ def with_sorted_code(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, dict[float, float]]:
-    """Exact linearly interpolated quantiles of numeric columns.
+    """Exact linearly interpolated quantiles of numeric columns; NaN counts as null.
 
     Each pass counts rows per bin between the bounds that still enclose a wanted rank and
     keeps the bin holding it; at most columns x ranks x BINS counts reach the driver.
     """
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
+    df = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in wanted])
+    finite = {c: F.when(F.abs(F.col(c)) != float("inf"), F.col(c)) for c in wanted}
     summary = df.agg(
-        *[f(c).alias(f"{c}_{name}") for c in wanted for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        *[F.count(c).alias(f"{c}_n") for c in wanted],
+        *[F.count(F.when(F.col(c) == -float("inf"), 1)).alias(f"{c}_lowest") for c in wanted],
+        *[F.count(finite[c]).alias(f"{c}_finite") for c in wanted],
+        *[f(finite[c]).alias(f"{c}_{name}") for c in wanted for name, f in (("lo", F.min), ("hi", F.max))],
     ).first()
-    ranks = {}
+    ranks, found = {}, {}
     for c, probs in wanted.items():
-        last = summary[f"{c}_n"] - 1
+        last, lowest = summary[f"{c}_n"] - 1, summary[f"{c}_lowest"]
         for p in probs:
             if last >= 0:
                 low = min(math.floor(last * p + 1e-9), last)
                 for rank in (low, min(low + 1, last)):
-                    ranks[c, rank] = (summary[f"{c}_lo"], summary[f"{c}_hi"], 0)
-    found = {}
+                    if rank < lowest:
+                        found[c, rank] = -float("inf")
+                    elif rank >= lowest + summary[f"{c}_finite"]:
+                        found[c, rank] = float("inf")
+                    else:
+                        ranks[c, rank] = (summary[f"{c}_lo"], summary[f"{c}_hi"], lowest)
     while ranks:
+        before = dict(ranks)
         for key, (lo, hi, _) in list(ranks.items()):
             if lo == hi:
                 found[key] = lo
@@ -173,6 +187,8 @@ def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, di
                     ranks[c, rank] = (row["lo"], row["hi"], below)
                     break
                 below += row["n"]
+        if ranks == before:
+            raise ValueError(f"values too far apart to be told apart by bins: {sorted(ranks)}")
     result: dict[str, dict[float, float]] = {}
     for c, probs in wanted.items():
         last = summary[f"{c}_n"] - 1
@@ -183,5 +199,6 @@ def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, di
                 continue
             low = min(math.floor(last * p + 1e-9), last)
             a, b = found[c, low], found[c, min(low + 1, last)]
-            result[c][p] = a + (b - a) * max(last * p - low, 0.0)
+            weight = max(last * p - low, 0.0)
+            result[c][p] = a if a == b or weight == 0.0 else a + (b - a) * weight
     return result

@@ -274,8 +274,9 @@ def expected_amount(codes: Column) -> Column:
 
 def _upcoding(limits: dict) -> list[Column]:
     px, dx, amount = F.col("px"), F.col("dx"), F.col("billed_amount")
-    complex_px = F.array_intersect(px, texts(K.HIGH_COMPLEXITY_PROCEDURES))
-    simple_dx = F.array_intersect(dx, texts(K.SIMPLE_DIAGNOSES))
+    # every occurrence counts, so no array_intersect
+    complex_px = F.filter(px, lambda c: c.isin(K.HIGH_COMPLEXITY_PROCEDURES))
+    simple_dx = F.filter(dx, lambda c: c.isin(K.SIMPLE_DIAGNOSES))
 
     def found(p: Column) -> Column:
         return F.transform(
@@ -484,7 +485,7 @@ _DERIVED = {
         | F.arrays_overlap("dx", texts(K.AUTO_INJURY_CODES))
     },
     "prescription_fraud_volume": {
-        "prescribed": lambda: F.size(F.array_intersect("px", texts(K.PRESCRIPTION_CODES)))
+        "prescribed": lambda: F.size(F.filter("px", lambda c: c.isin(K.PRESCRIPTION_CODES)))
     },
     "amount_anomaly": {"expected": lambda: expected_amount(F.col("px"))},
 }

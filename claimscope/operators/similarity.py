@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_QUERIES = 4096
+BLOCK_QUERIES = 4096
 
 
 def stable_id(column: str | Column) -> Column:
@@ -64,16 +65,24 @@ def search(
 ) -> DataFrame:
     """The ``k`` most similar rows per query with a cosine of at least ``threshold``.
 
-    ``queries`` holds (query_id, vector[, payload]) and is checked to be small; it goes to
-    every task, which keeps only its best ``k`` rows per query. Those partial lists are
-    then ranked per query, so no group grows with the data.
+    ``queries`` holds (query_id, vector[, payload]). They are searched in blocks of about
+    ``BLOCK_QUERIES``; a block goes to every task, which keeps only its best ``k`` rows per
+    query. Those partial lists are then ranked per query, so no group grows with the data.
     """
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    place = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
+    parts = [_search_block(rows, queries.where(place == b), key, column, k, threshold, payload) for b in range(blocks)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _search_block(
+    rows: DataFrame, queries: DataFrame, key: str, column: str, k: int, threshold: float, payload: str | None
+) -> DataFrame:
     wanted = ["query_id", "vector", *([payload] if payload else [])]
-    found = queries.select(*wanted).limit(MAX_QUERIES + 1).collect()
-    if len(found) > MAX_QUERIES:
-        raise ValueError(f"search takes at most {MAX_QUERIES} queries at a time")
+    found = queries.select(*wanted).collect()
     if not found:
-        return rows.select(F.lit(None).cast("long").alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
+        nothing = [F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key]
+        return rows.select(*nothing, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     ids = [r["query_id"] for r in found]
     matrix = np.array([r["vector"] for r in found], dtype=np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)

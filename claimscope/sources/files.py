@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from claimscope.functions.columns import joined
 
 MEGABYTE = 1024 * 1024
-MAX_FILE_MB = 500
 
 # fixed values: file name patterns per claim type
 TYPE_GLOBS = {
@@ -92,14 +91,14 @@ def read_claim_files(
     spark: SparkSession,
     path: str,
     claim_types: list[str] | None = None,
-    max_file_mb: float = MAX_FILE_MB,
+    max_file_mb: float | None = None,
     lines: bool = False,
 ) -> DataFrame:
     """Raw records of the claim files: bare claims and ``{"claims": [...]}`` documents alike.
 
-    Typed patterns look at the folder itself, the default at all folders below. Files above
-    the size limit are pruned before they are opened. ``lines`` reads one document per line,
-    which lets Spark split large files.
+    Typed patterns look at the folder itself, the default at all folders below. There is no
+    size limit unless the caller sets one; ``files_above`` then lists what is left out.
+    ``lines`` reads one document per line, which lets Spark split large files.
     """
     reader = (
         spark.read.schema(FILE_SCHEMA)
@@ -111,7 +110,20 @@ def read_claim_files(
         .option("recursiveFileLookup", not claim_types)
     )
     raw = reader.json(path).select("*", "_metadata.file_path", "_metadata.file_size")
-    return raw.where(F.col("file_size") <= int(max_file_mb * MEGABYTE))
+    return raw if max_file_mb is None else raw.where(F.col("file_size") <= int(max_file_mb * MEGABYTE))
+
+
+def files_above(spark: SparkSession, path: str, max_file_mb: float, claim_types: list[str] | None = None) -> DataFrame:
+    """file_path and file_size of the claim files that a limit of ``max_file_mb`` leaves out; none is opened."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", claim_glob(claim_types) or "*.json")
+        .option("recursiveFileLookup", not claim_types)
+        .load(path)
+    )
+    return files.where(F.col("length") > int(max_file_mb * MEGABYTE)).select(
+        F.col("path").alias("file_path"), F.col("length").alias("file_size")
+    )
 
 
 def _with_aliases(claims: DataFrame) -> DataFrame:
