@@ -115,9 +115,23 @@ def _ids(values: np.ndarray) -> pa.Array:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Block]:
+    """Blocks of about BLOCK_BYTES, whatever the size of the batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for part in pieces(batch, "text", BLOCK_BYTES):
-            yield Block(part, window)
+        for part in pieces(batch, "text", BLOCK_BYTES // 8):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if size and size + n > BLOCK_BYTES:
+                yield Block(_joined(held), window)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield Block(_joined(held), window)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _phrases(block: Block, source: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
