@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from claimscope import constants as K
 from claimscope.functions.skew import running_total
 from claimscope.operators.outliers import fit_sample, with_rates
+from claimscope.session import materialise
 
 MODELS = ["random_forest", "logistic_regression", "gradient_boosting", "neural_network", "linear_svm"]
 
@@ -81,9 +82,9 @@ def oversample(
     (minor, few), (_, many) = list(counts.items())[0], list(counts.items())[-1]
     missing = many - few
     small = rows.where(F.col(label) == minor).select(key, *features)
-    base = np.array(
-        [[row[f] for f in features] for row in fit_sample(small, key, reference, seed).collect()], dtype=float
-    )
+    sampled = fit_sample(small, key, reference, seed).collect()
+    base = np.array([[row[f] for f in features] for row in sampled], dtype=float)
+    base_keys = np.array([str(row[key]) for row in sampled], dtype=object)
     k = min(k, len(base) - 1)
     whole, rest = divmod(missing, few)
     spot = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -101,7 +102,9 @@ def oversample(
         for batch in batches:
             values = batch[features].to_numpy(dtype=float)
             squares = (values**2).sum(1)[:, None] + (base**2).sum(1)[None, :] - 2 * values @ base.T
-            order = np.argsort(squares, axis=1)[:, 1 : k + 1]
+            # a row is no neighbour of itself; rows outside the reference set are not in it
+            squares[batch[key].astype(str).to_numpy(dtype=object)[:, None] == base_keys[None, :]] = np.inf
+            order = np.argsort(squares, axis=1)[:, :k]
             other = base[order[np.arange(len(values)), batch["_pick"].to_numpy()]]
             made = values + batch["_step"].to_numpy()[:, None] * (other - values)
             out = pd.DataFrame(made, columns=features)
@@ -123,17 +126,17 @@ def estimator(name: str, features: int, **changes) -> Estimator:
     common = {"featuresCol": "features", "labelCol": "label"}
     weighted = {**common, "weightCol": "class_weight"}
     if name == "random_forest":
-        return RandomForestClassifier(**{**weighted, "numTrees": 200, "maxDepth": 15, "seed": 42, **changes})
+        return RandomForestClassifier(**{**weighted, "numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2, "seed": 42, **changes})
     if name == "logistic_regression":
-        return LogisticRegression(**{**weighted, "regParam": 0.01, "maxIter": 100, **changes})
+        return LogisticRegression(**{**weighted, "regParam": 0.01, "maxIter": 1000, **changes})
     if name == "gradient_boosting":
-        settings = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
+        settings = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
         return GBTClassifier(**{**weighted, **settings, **changes})
     if name == "neural_network":
         layers = [features, 100, 50, 2]
-        return MultilayerPerceptronClassifier(**{**common, "layers": layers, "seed": 42, **changes})
+        return MultilayerPerceptronClassifier(**{**common, "layers": layers, "maxIter": 500, "seed": 42, **changes})
     if name == "linear_svm":
-        return LinearSVC(**{**weighted, "maxIter": 100, **changes})
+        return LinearSVC(**{**weighted, "regParam": 0.01, "maxIter": 1000, **changes})
     raise ValueError(f"unknown model {name}")
 
 
@@ -158,8 +161,17 @@ def prepared(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     return with_class_weight(typed, "label")
 
 
-def train(rows: DataFrame, name: str, features: list[str], label: str, **changes) -> PipelineModel:
-    return pipeline(name, features, **changes).fit(prepared(rows, features, label))
+def train(
+    rows: DataFrame, name: str, features: list[str], label: str, penalty: float = 1.0, **changes
+) -> PipelineModel:
+    """Fit one classifier; linear models weigh their errors ``penalty`` times against the penalty term.
+
+    MLlib divides the loss by the sum of the class weights, which is the number of rows.
+    """
+    fit_rows = materialise(prepared(rows, features, label))
+    if name in ("logistic_regression", "linear_svm"):
+        changes.setdefault("regParam", 1 / (penalty * max(fit_rows.count(), 1)))
+    return pipeline(name, features, **changes).fit(fit_rows)
 
 
 def fraud_probability(model: PipelineModel) -> Column:

@@ -18,6 +18,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimscope.functions.skew import quantiles
 from claimscope.session import materialise
@@ -278,26 +279,32 @@ def fit_sample(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 # --- isolation forest ----------------------------------------------------------------
 
-_TREE = "tree int, feature array<int>, cut array<double>, low array<int>, high array<int>, depth array<double>"
+_TREE = (
+    "tree int, feature array<int>, cut array<double>, low array<int>, high array<int>, depth array<double>, size int"
+)
 
 
 def _path_constant(n: int) -> float:
     """Mean depth of an unsuccessful search among n rows."""
-    if n <= 1:
-        return 0.0
+    if n <= 2:
+        return float(max(n - 1, 0))
     return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
 def isolation_trees(
     rows: DataFrame, key: str, features: list[str], trees: int = 100, size: int = 256, seed: int = 42
 ) -> list[dict]:
-    """Random isolation trees, one task per tree over its own sample of ``size`` rows."""
+    """Random isolation trees, one task per tree over its own sample of ``size`` rows.
+
+    Samples are drawn without replacement from at most ``trees * size`` rows; a smaller table
+    gives all its rows to every tree.
+    """
     sample = fit_sample(rows.select(key, *features), key, trees * size, seed)
-    height = math.ceil(math.log2(size))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         rng = np.random.default_rng(seed + tree)
+        height = math.ceil(math.log2(max(len(group), 2)))
         feature, cut, low, high, depth = [], [], [], [], []
 
         def node(values: np.ndarray, level: int) -> int:
@@ -317,21 +324,26 @@ def isolation_trees(
 
         node(group[features].to_numpy(dtype=float), 0)
         return pd.DataFrame(
-            {"tree": [tree], "feature": [feature], "cut": [cut], "low": [low], "high": [high], "depth": [depth]}
+            {
+                "tree": [tree], "feature": [feature], "cut": [cut], "low": [low], "high": [high], "depth": [depth],
+                "size": [len(group)],
+            }
         )
 
-    dealt = sample.withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int"))
+    spread = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), "tree", F.lit(seed + 1)), key)
+    dealt = spread.withColumn("_draw", F.row_number().over(drawn)).where(F.col("_draw") <= size).drop("_draw")
     return [row.asDict() for row in dealt.groupBy("tree").applyInPandas(grow, _TREE).orderBy("tree").collect()]
 
 
 def isolation_scores(
-    rows: DataFrame, key: str, features: list[str], forest: list[dict], size: int = 256
+    rows: DataFrame, key: str, features: list[str], forest: list[dict]
 ) -> DataFrame:
-    """Anomaly score in (0, 1]: the shorter the mean path, the nearer to 1."""
+    """Anomaly score in (0, 1]: the shorter the mean path, the nearer to 1; 0.5 from trees of one row."""
     arrays = [
         tuple(np.array(tree[c]) for c in ("feature", "cut", "low", "high", "depth")) for tree in forest
     ]
-    usual = _path_constant(size)
+    usual = sum(_path_constant(tree["size"]) for tree in forest)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -346,7 +358,7 @@ def isolation_scores(
                     left = values[inner, feature[at[inner]]] < cut[at[inner]]
                     at[inner] = np.where(left, low[at[inner]], high[at[inner]])
                 total += depth[at]
-            yield pd.DataFrame({key: batch[key], "isolation_score": 2.0 ** (-total / len(arrays) / usual)})
+            yield pd.DataFrame({key: batch[key], "isolation_score": 2.0 ** (-total / usual) if usual else 0.5})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, *features).mapInPandas(score, f"{key} {kind}, isolation_score double")

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.functions.columns import joined
-
 MEGABYTE = 1024 * 1024
 
 # fixed values: file name patterns per claim type
@@ -233,7 +231,7 @@ def read_training(spark: SparkSession, path: str, schema: T.StructType, label: s
     if label not in schema.fieldNames():
         raise ValueError(f"Target column '{label}' not found in data")
     reader = spark.read.schema(schema)
-    return reader.option("header", True).csv(path) if ".csv" in path else reader.json(path)
+    return reader.option("header", True).option("escape", '"').csv(path) if ".csv" in path else reader.json(path)
 
 
 def read_patients(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
@@ -242,9 +240,9 @@ def read_patients(spark: SparkSession, path: str, lines: bool = True) -> DataFra
 
 
 def flat_lists(rows: DataFrame) -> DataFrame:
-    """List columns as text, for formats without lists."""
+    """List columns as JSON text, for formats without lists; null and the empty list stay apart."""
     lists = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    return rows.withColumns({c: joined(F.col(c)) for c in lists})
+    return rows.withColumns({c: F.to_json(F.col(c)) for c in lists})
 
 
 def write_claims(rows: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
@@ -253,7 +251,7 @@ def write_claims(rows: DataFrame, path: str, format: str = "parquet", mode: str
         raise ValueError(f"Unsupported format: {format}")
     writer = (flat_lists(rows) if format == "csv" else rows).write.mode(mode)
     if format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.format(format).save(path)
 
 

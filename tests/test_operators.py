@@ -159,6 +159,16 @@ def test_models_separate_the_classes(labelled, name):
     assert metrics["roc_auc"] > 0.9 and metrics["recall"] > 0.7
 
 
+@pytest.mark.parametrize("n", [1, 2, 100, 1000])
+def test_isolation_trees_have_whole_samples(spark, n):
+    rows = spark.createDataFrame([(i, float(i), float(i * i % 7)) for i in range(n)], "id int, x double, y double")
+    forest = outliers.isolation_trees(rows, "id", ["x", "y"], trees=10)
+    assert [tree["size"] for tree in forest] == [min(n, 256)] * 10
+    scores = [r[0] for r in outliers.isolation_scores(rows, "id", ["x", "y"], forest).select("isolation_score").collect()]
+    assert len(scores) == n and all(0 < s <= 1 for s in scores)
+    assert n > 2 or scores == [0.5] * n
+
+
 def test_ranking_metrics(spark):
     data = [(0.9, True), (0.8, False), (0.8, True), (0.3, False), (0.2, True), (0.1, False)]
     out = classify.ranking_metrics(spark.createDataFrame(data, "s double, y boolean"), "s", "y").first()
@@ -310,6 +320,14 @@ def test_inventory(spark, folder):
     assert stats["claims_loaded"] == 7 and stats["read_errors"] == 1 and stats["claims_per_second"] == 3.5
 
 
+def test_lists_in_csv(spark, tmp_path):
+    lists = [["a|b", 'c"d'], [], None]
+    rows = spark.createDataFrame([(i, codes) for i, codes in enumerate(lists)], "id int, codes array<string>")
+    files.write_claims(rows, str(tmp_path / "c"), "csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).orderBy("id").collect()
+    assert [r["codes"] and json.loads(r["codes"]) for r in back] == lists
+
+
 def test_training_needs_its_label(spark):
     with pytest.raises(ValueError):
         files.read_training(spark, "nowhere.csv", T.StructType([T.StructField("x", T.DoubleType())]))
@@ -342,6 +360,25 @@ def test_running_history_continues_over_batches(spark, tmp_path):
     assert {r["recent_providers"] for r in out.values()} == {1, 2}
 
 
+def test_running_history_keeps_its_bound_inside_a_batch(spark, tmp_path):
+    day = datetime.date(2024, 1, 1)
+    rows = [(f"C{i:03d}", "PRV-1", None if i % 50 == 0 else "PAT-1", None if i == 149 else day, None) for i in range(300)]
+    found = []
+    for batches in (1, 3):
+        source, size = str(tmp_path / f"in{batches}"), 300 // batches
+        for i in range(batches):
+            spark.createDataFrame(rows[i * size : (i + 1) * size], STREAM).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.claim_stream(spark, source, spark.read.parquet(source).schema, 1, "parquet")
+        kept = streams.RunningHistory(spark, str(tmp_path / f"history{batches}"), streams.HISTORY_SCHEMA)
+        streams.score_against_history(stream, kept, str(tmp_path / f"out{batches}"), str(tmp_path / f"cp{batches}"))
+        out = spark.read.parquet(str(tmp_path / f"out{batches}")).collect()
+        assert max(r["provider_today"] for r in out) == 100
+        assert max(r["patient_today"] for r in out if r["patient_today"] is not None) == 50
+        assert next(r["provider_today"] for r in out if r["claim_id"] == "C149") == 0
+        found.append(sorted(r["provider_today"] for r in out))
+    assert len(found[0]) == len(found[1]) == 300
+
+
 def test_repeated_claims_are_dropped(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = stream_rows(6)
