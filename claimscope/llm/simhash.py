@@ -60,15 +60,21 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fingerprint (as a signed long) of each row; a null text is an empty one, with fingerprint zero."""
+    return _marked(docs, id_column, text_column, words_per_shingle, seed).select("doc_id", "fingerprint")
+
+
+def _marked(docs: DataFrame, id_column: str, text_column: str, words_per_shingle: int, seed: int) -> DataFrame:
+    """doc_id, text_hash and fingerprint of each row."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(x.as_py() or "", words_per_shingle, seed) for x in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(marks.view(np.int64))], ["doc_id", "text_hash", "fingerprint"])
 
-    rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    text = docs[text_column]
+    rows = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fingerprint long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -155,30 +161,42 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     marks = materialise(fingerprints(docs, id_column, text_column, words_per_shingle, seed))
     groups = materialise(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    linked = components(links(groups.select("fingerprint"), radius))
-    rooted = groups.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
+    rooted = _rooted(groups, radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = materialise(rooted.join(named, "root").select("fingerprint", "component_id"))
     return marks.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_per_shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with the smallest doc_id of each group.
+def _rooted(groups: DataFrame, radius: int) -> DataFrame:
+    """``groups`` (a row for each fingerprint) and root, the smallest fingerprint connected with the row's."""
+    linked = components(links(groups.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
+    return groups.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_per_shingle: int = 3, radius: int = 2, seed: int = 42, one_per_id: bool = True) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, all columns as they are.
 
-    Of rows that share this doc_id one stays. Rows without doc_id go if their group has a row
-    with one; of a group without any, one stays.
+    It is the row with the smallest doc_id, of several texts of that id the one with the smallest
+    hash; rows without doc_id stay only where their whole group has none. With ``one_per_id``
+    one row stays where a doc_id would be kept for several groups, that is with different texts.
     """
-    found = near_copies(docs, id_column, text_column, words_per_shingle, radius, seed)
-    rows = materialise(found.groupBy("component_id").agg(F.count(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1)).alias("rows_of_id")))
-    once = rows.filter("rows_of_id = 1").select(F.col("component_id").alias("__kept"))
-    often = rows.filter("rows_of_id > 1").select(F.col("component_id").alias("__kept"))
-    own = docs[id_column]
-    single = docs.join(once, own.eqNullSafe(once["__kept"]), "left_semi")
+    marks = _marked(docs, id_column, text_column, words_per_shingle, seed)
+    # rows of one id and text are counted first: equal rows share id and hash, and one of them stays
+    each = materialise(marks.groupBy("fingerprint", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")
+    groups = materialise(each.groupBy("fingerprint").agg(F.min(row).alias("least")))
+    kept = _rooted(groups, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    if one_per_id:
+        first = kept.filter("NOT unnamed").groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("f")).select("doc_id", "f.*")
+        kept = first.unionByName(kept.filter("unnamed").drop("unnamed"))
+    kept = materialise(kept.select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__hash"), "n"))
+    once, often = kept.filter("n = 1"), kept.filter("n > 1")
+    own, text_hash = docs[id_column], F.xxhash64(docs[text_column])
+    single = docs.join(once, own.eqNullSafe(once["__kept"]) & (text_hash == once["__hash"]), "left_semi")
     if often.isEmpty():
         return single
-    repeated = docs.join(often, own.eqNullSafe(often["__kept"]), "left_semi").dropDuplicates([id_column])
+    repeated = docs.join(often, own.eqNullSafe(often["__kept"]) & (text_hash == often["__hash"]), "left_semi")
+    repeated = repeated.withColumn("__hash", F.xxhash64(docs[text_column])).dropDuplicates([id_column, "__hash"]).drop("__hash")
     return single.unionByName(repeated)
 
 

@@ -117,6 +117,23 @@ def test_one_row_of_a_group_stays(spark):
     assert kept == sorted(groups) and 5 not in kept and 3 not in kept
 
 
+def test_every_group_keeps_a_row(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(50)) for _ in range(30)]
+    rows = [(None, t) for t in texts[:20]] + [(None, texts[0])] * 2  # twenty groups without any id
+    rows += [(1, texts[20]), (None, texts[20].upper())]  # a copy of a numbered row
+    rows += [(2, texts[21]), (2, texts[22]), (2, texts[22])]  # two texts of one id
+    rows += [(3, texts[23]), (4, texts[24]), (4, texts[23].upper())]  # the second text of 4 is a copy of 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = [(None, t) for t in texts[:20]] + [(1, texts[20]), (2, texts[21]), (2, texts[22]), (3, texts[23]), (4, texts[24])]
+    order = lambda rows: sorted((-1 if d is None else d, t) for d, t in rows)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns and order(texts_of(kept)) == order(want)
+    assert sorted(d for d, _ in texts_of(simhash.without_copies(docs)) if d is not None) == [1, 2, 3, 4]
+
+
 def test_relative_lz_against_brute_force(spark):
     import random
 
