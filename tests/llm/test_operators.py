@@ -263,6 +263,20 @@ def test_secrets_are_found_and_replaced(spark):
     assert clean[2, None] == f"only {card} here" and clean[3, "c"] is None
 
 
+def test_secrets_in_context_are_found(spark):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0F1E2D\n\nMIIEpAIBAAKCAQEA\n-----END RSA PRIVATE KEY-----"
+    said = [
+        ("password=Tr0ub4dor&3 then", "Tr0ub4dor&3"), ("pwd: hunter2x", "hunter2x"), ("db_password = 'p@ss.w!x$9', next", "p@ss.w!x$9"), ("api_key: QwErTyZxCvBnMkLp.", "QwErTyZxCvBnMkLp"),
+        ("Authorization: Bearer eyJh.bGci-Oi_J.x9Z end", "eyJh.bGci-Oi_J.x9Z"), ("see postgres://admin:s3c.r!t@db.local/x", "s3c.r!t"), (f"key {pem} end", pem), ('passphrase="vx qoz jyk wum" next', "vx qoz jyk wum"),
+    ]
+    clean = ["this is the secret: friendship and more", "the author: Margarethe said", "at 10:30 we meet: nothing, a=b"]
+    prose = [f"friendship of Margarethe with the author number {i}" for i in range(8)]
+    texts = [t for t, _ in said] + clean + prose
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(texts_of(secrets_forest.redacted(docs)))
+    assert [got[i] for i in range(len(texts))] == [t.replace(s, "[SECRET]") for t, s in said] + clean + prose
+
+
 def test_pipeline_against_its_stages_by_hand(spark, sf_dir):
     """Near copies and contamination by brute force on what the language stage kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
