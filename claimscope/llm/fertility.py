@@ -1,20 +1,23 @@
 """Quality rules from a tokeniser's fertility.
 
 A public vocabulary measures each text: characters per token, the share of tokens that are
-bytes of characters it lacks, and the entropy of the text's tokens. Text in a language the
-vocabulary knows gives figures in a narrow band; noise, encoding damage and endless repetition
-fall outside. The bands come from the quartiles of all texts of a language (or of a script, where
-no language is given) that pass the plain rules.
+bytes of characters it lacks, and the entropy of the text's tokens; two others give their
+characters per token. Text in a language the vocabularies know gives figures in a narrow band;
+noise, encoding damage and endless repetition fall outside. The bands come from the quartiles of
+all texts of a language (or of a script, where no language is given) and a length class that pass
+the plain rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from claimscope.llm.arrays import NOT_SPACE, mix, ngrams, pieces, utf8, words
 from claimscope.llm.sentencepiece_codec import MODEL, codec, read_model
@@ -29,11 +32,14 @@ REACH = 3.0
 #: The quartiles' distance counts as at least this part of the median (or of 1 for shares).
 LEAST_SPREAD = 0.01
 
-#: The width is for texts of so many tokens; it grows as a mean's error does where a text has fewer.
+#: A length class (tokens between two powers of two) has bands of its own from so many texts on.
+LEAST_TEXTS = 20
+
+#: The bands of all lengths, for thinner classes, are for texts of so many tokens; their width grows as a mean's error does where a text has fewer.
 BAND_TOKENS = 2000
 
-#: Texts of fewer tokens are not measured against the bands at all.
-LEAST_TOKENS = 50
+#: Other public vocabularies, by the name of their measure.
+OTHERS = {"chars_per_byte_token": "/opt/tokenizers/byte_bpe_50k.json", "chars_per_word_token": "/opt/tokenizers/word_bpe_49k.json"}
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _LEADS = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a character
@@ -53,10 +59,10 @@ def _script_of_lead() -> np.ndarray:
 
 
 _SCRIPT = _script_of_lead()
-_MEASURES = ["chars_per_token", "byte_share", "entropy"]
+_MEASURES = ["chars_per_token", "byte_share", "entropy", *OTHERS]
 _SCHEMA = (
     "doc_id {kind}, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy double"
+    "n_tokens long, " + ", ".join(f"{m} double" for m in _MEASURES)
 )
 
 
@@ -98,10 +104,12 @@ def _entropy(ids: np.ndarray) -> float:
 def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
     """Counts and token figures of each row; see ``quality`` for the columns."""
     message = read_model(model_path)
+    others = [Path(path).read_text() for path in OTHERS.values()]  # read here, as workers have no files
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(message)
+        vocabularies = [Tokenizer.from_str(x) for x in others]
         ascii_byte = np.array([k == 6 and int(p[3:5], 16) < 128 for p, _, k in own.model.pieces])
         fallback = own.is_byte & ~ascii_byte
         for batch in batches:
@@ -124,6 +132,7 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
                         pa.array(np.diff(found.first)), pa.array(_per_text(_LEADS[data] & NOT_SPACE[data], offsets)), pa.array(_per_text(_SYMBOLS[data], offsets)),
                         pa.array([_duplicate_lines(x.encode()) if "\n" in x else 0 for x in texts], pa.int64()), pa.array(_repeated_words(found)),
                         pa.array(n_tokens), pa.array(chars / np.maximum(n_tokens, 1)), pa.array(byte_share, pa.float64()), pa.array([_entropy(x) for x in ids], pa.float64()),
+                        *[pa.array(chars / np.maximum(np.fromiter((len(v.encode(x, add_special_tokens=False)) for x in texts), np.int64, n_texts), 1)) for v in vocabularies],
                     ],
                     ["doc_id", "lang", "script", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *_MEASURES],
                 )
@@ -134,19 +143,21 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
 
 
 def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
-    """For each band_key (language, else script) the middle of each measure's band and half its width.
+    """For each band_key (language, else script) and length_class the middle of each measure's band and half its width.
 
-    Quartiles are exact over all rows of the key, of figures rounded to thousandths, so that a
+    A class of fewer than ``LEAST_TEXTS`` texts has no row; the row with length_class null is of
+    all lengths. Quartiles are exact over all rows, of figures rounded to thousandths, so that a
     key's counts stay few and come together before the shuffle.
     """
     quartiles = [F.percentile(F.round(m, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in _MEASURES]
-    found = measured.groupBy("band_key").agg(*quartiles)
+    by_class = measured.groupBy("band_key", "length_class").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= LEAST_TEXTS)
+    whole = measured.groupBy("band_key").agg(F.lit(None).cast("int").alias("length_class"), F.count("*").alias("n"), *quartiles)
     columns = []
     for m in _MEASURES:
         low, middle, high = (F.col(m)[i] for i in range(3))
         spread = F.greatest(high - low, LEAST_SPREAD * (F.lit(1.0) if m == "byte_share" else middle))
         columns += [((low + high) / 2).alias(f"{m}_middle"), ((high - low) / 2 + reach * spread).alias(f"{m}_width")]
-    return found.select("band_key", *columns)
+    return by_class.unionByName(whole).select("band_key", "length_class", *columns)
 
 
 def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
@@ -154,19 +165,26 @@ def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_c
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows. Such
     rows are not kept and do not shape the bands. The others are kept if all figures lie in the
-    bands of their language or script; texts of fewer than ``LEAST_TOKENS`` tokens have too few
-    for the figures to mean anything and are kept. Null and empty texts have no words; repeated
-    rows stay repeated; other columns are left out; an empty table gives an empty one.
+    bands of their language or script and length class. Null and empty texts have no words;
+    repeated rows stay repeated; other columns are left out; an empty table gives an empty one.
     """
     measured = measures(docs, model_path, id_column, text_column, lang_column)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = materialise(measured.withColumn("base_failed", failed).withColumn("band_key", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))))
-    judged = (F.col("n_tokens") >= LEAST_TOKENS) & ~F.col("base_failed")
-    limits = small_side(bands(measured.filter(judged), reach))  # a row for each language or script
-    wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(BAND_TOKENS)) / F.col("n_tokens")))
-    # entropy grows with the number of tokens, so only its lower side of the band counts
-    gap = {m: F.col(m) - F.col(f"{m}_middle") if m != "entropy" else F.col(f"{m}_middle") - F.col(m) for m in _MEASURES}
-    out = F.array_compact(F.array(*[F.when((F.abs(gap[m]) if m != "entropy" else gap[m]) > wider * F.col(f"{m}_width"), F.lit(m)) for m in _MEASURES]))
-    rated = measured.join(limits, "band_key", "left").withColumn("outside", F.when(judged, F.coalesce(out, F.array())).otherwise(F.array().cast("array<string>")))
+    measured = measured.withColumn("length_class", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int"))
+    judged = ~F.col("base_failed")
+    limits = materialise(bands(measured.filter(judged), reach))
+    by_class = small_side(limits.filter("length_class IS NOT NULL"))  # some rows for each language or script
+    whole = small_side(limits.filter("length_class IS NULL").select("band_key", *[F.col(c).alias(f"all_{c}") for c in limits.columns[2:]]))
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(BAND_TOKENS)) / F.greatest(F.col("n_tokens"), F.lit(1))))
+    apart = []
+    for m in _MEASURES:
+        middle, all_middle = F.col(f"{m}_middle"), F.col(f"all_{m}_middle")
+        gap = F.abs(F.col(m) - all_middle) if m != "entropy" else all_middle - F.col(m)  # over all lengths entropy grows with the tokens
+        within = F.abs(F.col(m) - middle) > F.col(f"{m}_width")
+        apart.append(F.when(F.when(middle.isNotNull(), within).otherwise(gap > wider * F.col(f"all_{m}_width")), F.lit(m)))
+    out = F.array_compact(F.array(*apart))
+    rated = measured.join(by_class, ["band_key", "length_class"], "left").join(whole, "band_key", "left")
+    rated = rated.withColumn("outside", F.when(judged, F.coalesce(out, F.array())).otherwise(F.array().cast("array<string>")))
     rated = rated.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *_MEASURES, "outside")

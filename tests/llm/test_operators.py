@@ -204,6 +204,24 @@ def test_base_counts_against_brute_force(spark, sf_dir):
         assert r["kept"] == (not r["base_failed"] and not r["outside"])
 
 
+def test_bands_reject_symbol_runs_in_every_language(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text").dropDuplicates(["doc_id"])
+    said = {r["doc_id"]: (r["lang"], r["text"] or "") for r in docs.collect()}
+    figures = {}  # of each language: junk, junk rejected, others, others rejected
+    for r in fertility.quality(docs).filter("NOT base_failed").collect():
+        lang, text = said[r["doc_id"]]
+        junk = 2 * sum(bool(re.search(r"[#*$%&|<>]{3,}", w)) for w in text.split()) >= r["n_words"]
+        own = figures.setdefault(lang, [0, 0, 0, 0])
+        own[0 if junk else 2] += 1
+        own[1 if junk else 3] += not r["kept"]
+    print(figures)
+    assert set(figures) == {"de", "en", "es", "fr"}
+    for n_junk, caught, n_others, wrong in figures.values():
+        assert caught >= 0.8 * n_junk and wrong <= 0.06 * n_others
+
+
 def test_language_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
