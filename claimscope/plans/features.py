@@ -319,3 +319,9 @@ def combined_features(spark, sf_dir):
         "amount_per_procedure", "provider_weekend_ratio", "provider_referral_ratio",
         "amount_percentile", "amount_percentile_specialty",
     )
+
+
+@registry.query()
+def feature_table(spark, sf_dir):
+    """Every feature family side by side."""
+    return X.feature_table(claims(spark, sf_dir))

@@ -123,6 +123,31 @@ def test_density_noise_equals_brute_force(spark, cloud):
     assert got == noise
 
 
+def test_full_ensemble_and_noise_use_every_detector_and_feature(spark, sf_dir):
+    from claimscope.plans import features as feature_plans
+    from claimscope.plans import outliers as plans
+
+    rows = {r["claim_id"]: [r[f] for f in plans.FEATURES] for r in plans._scaled(spark, sf_dir).collect()}
+    places, counts = np.unique(np.array(list(rows.values())), axis=0, return_counts=True)
+    near = ((places[:, None] - places[None]) ** 2).sum(-1) <= 0.25
+    core = near @ counts >= 5
+    lonely = {tuple(p) for p, c, b in zip(places, core, near @ core.astype(int)) if not c and not b}
+    noise = {k for k, p in rows.items() if tuple(p) in lonely}
+    assert {r["claim_id"] for r in plans.density_noise_all_features(spark, sf_dir).where("is_noise").collect()} == noise
+
+    names = [*outliers.METHODS, *plans.FITTED]
+    out = plans.full_outlier_ensemble(spark, sf_dir).collect()
+    assert len(names) == 8 and len(out) == len(rows)
+    for r in out:
+        votes = sum(r[m] for m in names)
+        assert r["is_anomaly"] == (votes >= 4) and r["is_noise"] == (r["claim_id"] in noise)
+    print("FIGURES", len(rows), len(noise), sum(r["is_anomaly"] for r in out))
+
+    wide = feature_plans.feature_table(spark, sf_dir)
+    assert wide.count() == len(rows) and len(wide.columns) > len(feature_plans.combined_features(spark, sf_dir).columns)
+    print("COLUMNS", len(wide.columns), len(feature_plans.combined_features(spark, sf_dir).columns))
+
+
 # --- models --------------------------------------------------------------------------
 
 
