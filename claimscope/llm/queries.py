@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import fertility, interleaving, inverted_index, language, relative_lz, reply_trees, secrets_forest, sentencepiece_codec, simhash, toxicity
+from claimscope.llm import (
+    digest_cache, fertility, interleaving, inverted_index, language, periodic_runs, relative_lz, reply_trees, secrets_forest, sentencepiece_codec, simhash, toxicity, whitening,
+)
 from claimscope.llm.tables import small_batches
 from claimscope.plans.registry import Registry
 
@@ -196,3 +198,93 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates for secrets in every text, where they are, and which of them are secrets."""
     return secrets_forest.scan(documents(spark, sf_dir)).select("doc_id", "n_candidates", "n_secrets", "findings")
+
+
+@registry.query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding along the sixteen largest components, fitted on the distinct ones."""
+    vectors = whitening.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    model = whitening.fit(vectors, components=16)
+    found = whitening.by_component(whitening.whiten(vectors, model), model)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text): in about a tenth of the texts, by a hash of the id, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = docs.select("doc_id", "text", (h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.greatest(F.size("w"), F.lit(1))
+    planted = planted.select("doc_id", "text", "g", "w", n.alias("n"), (F.col("g") % n).cast("int").alias("a"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    planted = planted.withColumn("p", p)
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    text = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")), " ")
+    return planted.select("doc_id", F.when(F.size("w") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@registry.query(
+    r"""
+    WITH steps AS (
+        SELECT list(c ORDER BY b) AS t FROM (
+            SELECT b, list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+            FROM range(256) r(b)
+        )
+    ), hashed AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ord(CAST(doc_id AS VARCHAR)[i])::UBIGINT)),
+                lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) AS BIGINT) AS h
+        FROM documents, steps
+    ), dealt AS (
+        SELECT doc_id, w, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM hashed
+    ), said AS (
+        SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+            THEN list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // parts) + 1] END) ELSE w END AS w
+        FROM dealt
+    ), grams AS (
+        SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM said WHERE len(w) >= 24)
+    ), pairs AS (
+        SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i
+    ), islands AS (
+        SELECT doc_id, q, min(i) AS start, max(i) + 8 + q - min(i) AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+    ), runs AS (
+        SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= 24 AND length >= 3 * q GROUP BY doc_id, start, length
+    ), listed AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id
+    ), best AS (
+        SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+    ), kept AS (
+        SELECT n.doc_id, string_agg(n.word, ' ' ORDER BY n.i) AS said
+        FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM said) n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i
+        GROUP BY n.doc_id
+    )
+    SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+        CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+    FROM said d LEFT JOIN listed ON listed.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """
+)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every text, the strongest of them, and the text with one period left of each."""
+    found = periodic_runs.periodic_runs(with_planted_runs(documents(spark, sf_dir)), least_length=24, least_periods=3)
+    runs = F.col("runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct((r["length"].cast("double") / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    line = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", "collapsed", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), line.alias("said"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2("said", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@registry.query()
+def op13_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every text, each distinct text encoded once; the cache is new, so that the work is that of a first run."""
+    import public_tokenizers
+
+    found = digest_cache.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
