@@ -12,8 +12,9 @@ the same text at the same time leave two equal rows, which a look-up reads as on
 
 What the rows give: a null text counts as an empty one (0 tokens, 0 bytes). Null and repeated ids
 keep their rows, each with its own count; other columns are not read. Very long texts are cut
-where the vocabulary's own pre-tokeniser cuts (between a letter and a space), so that no single
-encoding grows with the text, and the counts of the pieces add up to that of the whole.
+where the vocabulary's own pre-tokeniser cuts (where white space begins), so that no single
+encoding grows with the text, and the counts of the pieces add up to that of the whole. Equal
+pieces of a batch, mostly words, are encoded once.
 """
 
 from __future__ import annotations
@@ -22,20 +23,26 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from claimscope.llm.arrays import pieces
+from claimscope.llm.arrays import pieces, utf8
 from claimscope.llm.tables import BROADCAST_ROWS
 from claimscope.session import materialise, scratch_path
 
 #: Tokenizer files above this size are refused: their text goes to every Python worker.
 FILE_BYTES = 64 << 20
 
-#: Bytes of text encoded at once, and of one piece of a longer text.
-BATCH_BYTES = 1 << 18
+#: Bytes of text encoded at once; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 20
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_PRINTABLE = np.zeros(256, bool)
+_PRINTABLE[0x21:0x7F] = True
 
 #: A digest with more than this share of all rows is looked up by a broadcast, so there are fewer than 1000 of them.
 HOT_SHARE = 0.001
@@ -61,9 +68,9 @@ class Tokenizer:
         self.normalises = said.get("normalizer") is not None
         self.added = [t["content"] for t in said.get("added_tokens", [])]
         before = said.get("pre_tokenizer") or {}
-        #: Whether a text may be cut between a letter and a space without a change of its tokens.
+        #: Whether a text may be cut where white space begins without a change of its tokens.
         self.cuts_at_spaces = not self.normalises and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True) and not any(
-            " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said.get("added_tokens", [])
+            any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said.get("added_tokens", [])
         )
 
     def load(self):
@@ -75,18 +82,32 @@ class Tokenizer:
         return made
 
 
-def _cut(text: str) -> list[str]:
-    """Pieces of about BATCH_BYTES characters, each but the first beginning with a space after an ASCII letter."""
-    found, begin = [], 0
-    while len(text) - begin > BATCH_BYTES:
-        at = text.find(" ", begin + BATCH_BYTES)
-        while at > 0 and not (text[at - 1].isascii() and text[at - 1].isalpha()):
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        found.append(text[begin:at])
-        begin = at
-    return [*found, text[begin:]]
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts cut where white space begins after a printable ASCII character, and the number of pieces before each text.
+
+    No pre-token of the byte-level pattern reaches across such a place, and what follows it is
+    split without looking back.
+    """
+    data, offsets = utf8(texts)
+    at = np.zeros(len(data) + 1, bool)
+    at[1:-1] = _SPACE[data[1:]] & _PRINTABLE[data[:-1]]
+    at[offsets] = True
+    cuts = np.flatnonzero(at)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    return pieces, np.searchsorted(cuts, offsets)
+
+
+def _counts(library, texts: pa.Array, cuts_at_spaces: bool) -> pa.Array:
+    """The number of tokens of each text; of pieces that are equal one is encoded."""
+    if not cuts_at_spaces:
+        return pa.array([len(e.ids) for e in library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.int64())
+    found, first = cut(texts)
+    coded = found.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
+    counts = np.array([len(e.ids) for e in library.encode_batch_fast(distinct, add_special_tokens=False)], np.int64)
+    before = np.zeros(len(found) + 1, np.int64)
+    np.cumsum(counts[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else counts, out=before[1:])
+    return pa.array(before[first[1:]] - before[first[:-1]])
 
 
 def _encoder(tokenizer: Tokenizer):
@@ -99,13 +120,7 @@ def _encoder(tokenizer: Tokenizer):
         library = tokenizer.load()
         for batch in batches:
             for piece in pieces(batch, "text", BATCH_BYTES):
-                texts = piece.column("text").to_pylist()
-                counts = []
-                if len(texts) == 1 and tokenizer.cuts_at_spaces:
-                    counts.append(sum(len(e.ids) for part in _cut(texts[0]) for e in library.encode_batch_fast([part], add_special_tokens=False)))
-                else:
-                    counts += [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([piece.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([piece.column("digest"), _counts(library, piece.column("text"), tokenizer.cuts_at_spaces)], names=["digest", "n_tokens"])
 
     return count
 

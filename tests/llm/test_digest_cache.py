@@ -1,5 +1,8 @@
 """Token counts against the library, and what the cache spares."""
 
+import random
+
+import pyarrow as pa
 import pytest
 import tokenizers
 
@@ -58,6 +61,17 @@ def test_only_misses_are_encoded(spark, tmp_path, monkeypatch):
     assert digest_cache.stored(spark, cache, tokenizer).count() == 3
 
 
+def test_cut_texts_against_whole_ones():
+    """Texts of all kinds of white space, marks and letters, cut and whole."""
+    dice = random.Random(3)
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = ["a", "Bc", "é", "日本", "7", "12", "'s", "'", "!", "?!", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\u2028", "\x1f", "\x85", "\x0b", "<|endoftext|>", "<|", "😀", "\x00"]
+    texts = ["".join(dice.choices(signs, k=dice.randint(0, 30))) for _ in range(4000)]
+    found = digest_cache._counts(library, pa.array(texts), True)
+    assert found.to_pylist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert digest_cache._counts(library, pa.array([], pa.string()), True).to_pylist() == []
+
+
 def test_hot_text_and_many_others(spark):
     docs = spark.range(6000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) AS text")
     count = _library("byte_bpe_50k.json")
@@ -70,6 +84,7 @@ def test_long_texts_are_cut_without_a_change(spark, monkeypatch):
     texts = [said * 9000, "word" * 200_000, "a " * 300_000, "7 " * 300_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     count = _library("byte_bpe_50k.json")
-    assert len(digest_cache._cut(texts[0])) > 2 and "".join(digest_cache._cut(texts[0])) == texts[0]
+    found, first = digest_cache.cut(pa.array(texts))
+    assert first.tolist()[:2] == [0, 11 * 9000 + 1] and b"".join(found.to_pylist()) == "".join(texts).encode()
     found = {r["doc_id"]: r["n_tokens"] for r in digest_cache.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert found == {i: count(t) for i, t in enumerate(texts)}
