@@ -22,6 +22,10 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+#: Bytes, and words, that are hashed at once: the tables of powers stay small, whatever the text.
+HASHED_BYTES = 1 << 18
+HASHED_WORDS = 1 << 16
+
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -67,16 +71,27 @@ class Words:
 
     def beginnings(self, lengths: tuple[int | None, ...]) -> list[np.ndarray]:
         """For each length a 64-bit hash of each word's first bytes; None takes the whole word."""
-        n = len(self.data)
-        powers, inverse = _powers(_BYTE_BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
-        found = []
-        for length in lengths:
-            ends = self.ends if length is None else np.minimum(self.starts + length, self.ends)
-            found.append(mix((total[ends] - total[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64)))
+        found = [np.empty(len(self), np.uint64) for _ in lengths]
+        for first, last in self._runs():
+            begin = int(self.starts[first])
+            data = self.data[begin : self.ends[last - 1]]
+            starts, whole = self.starts[first:last] - begin, self.ends[first:last] - begin
+            powers, inverse = _powers(_BYTE_BASE, len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=total[1:])
+            for hashes, length in zip(found, lengths):
+                ends = whole if length is None else np.minimum(starts + length, whole)
+                hashes[first:last] = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
         return found
 
+    def _runs(self) -> Iterator[tuple[int, int]]:
+        """Words first .. last - 1 that lie in about HASHED_BYTES; the hashes do not depend on where a run begins."""
+        first = 0
+        while first < len(self):
+            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + HASHED_BYTES, side="right")))
+            yield first, last
+            first = last
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
@@ -98,10 +113,14 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     size = len(hashes)
     if size < n:
         return np.zeros(0, np.uint64)
-    powers, inverse = _powers(_WORD_BASE, size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(hashes * powers[:size], out=total[1:])
-    return mix((total[n:] - total[:-n]) * inverse[: size - n + 1])
+    found = np.empty(size - n + 1, np.uint64)
+    for at in range(0, len(found), HASHED_WORDS):
+        part = hashes[at : at + HASHED_WORDS + n - 1]
+        powers, inverse = _powers(_WORD_BASE, len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers[: len(part)], out=total[1:])
+        found[at : at + HASHED_WORDS] = mix((total[n:] - total[:-n]) * inverse[: len(part) - n + 1])
+    return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,6 +140,6 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         have = tuple(np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 1 << 22:
+        if size <= 1 << 19:
             _TABLES[base] = have
     return have

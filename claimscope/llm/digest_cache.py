@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from claimscope.llm.arrays import pieces, utf8
-from claimscope.llm.tables import BROADCAST_ROWS
+from claimscope.llm.tables import BROADCAST_ROWS, tidy
 from claimscope.session import materialise, scratch_path
 
 #: Tokenizer files above this size are refused: their text goes to every Python worker.
@@ -39,6 +39,9 @@ FILE_BYTES = 64 << 20
 #: Bytes of text encoded at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 
+#: Distinct pieces whose counts a task keeps; when there are more it begins anew.
+KEPT_PIECES = 150_000
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _PRINTABLE = np.zeros(256, bool)
@@ -97,17 +100,36 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.searchsorted(cuts, offsets)
 
 
-def _counts(library, texts: pa.Array, cuts_at_spaces: bool) -> pa.Array:
-    """The number of tokens of each text; of pieces that are equal one is encoded."""
-    if not cuts_at_spaces:
-        return pa.array([len(e.ids) for e in library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.int64())
-    found, first = cut(texts)
-    coded = found.dictionary_encode()
-    distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
-    counts = np.array([len(e.ids) for e in library.encode_batch_fast(distinct, add_special_tokens=False)], np.int64)
-    before = np.zeros(len(found) + 1, np.int64)
-    np.cumsum(counts[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else counts, out=before[1:])
-    return pa.array(before[first[1:]] - before[first[:-1]])
+class PieceCounter:
+    """Counts the tokens of texts; of the pieces that are equal one is encoded.
+
+    The counts of at most ``KEPT_PIECES`` short pieces are kept from call to call, so a counter is
+    made for a task and goes with it. Without ``cuts_at_spaces`` texts are encoded whole.
+    """
+
+    def __init__(self, library, cuts_at_spaces: bool) -> None:
+        self.library, self.cuts_at_spaces = library, cuts_at_spaces
+        self.kept: dict[str, int] = {}
+
+    def _encoded(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def counts(self, texts: pa.Array) -> pa.Array:
+        """The number of tokens of each text (none is null)."""
+        if not self.cuts_at_spaces:
+            return pa.array(self._encoded(texts.to_pylist()), pa.int64())
+        found, first = cut(texts)
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
+        if len(self.kept) + len(distinct) > KEPT_PIECES:
+            self.kept = {}
+        new = [x for x in distinct if x not in self.kept]
+        fresh = dict(zip(new, self._encoded(new)))
+        counts = np.array([fresh[x] if x in fresh else self.kept[x] for x in distinct], np.int64)
+        self.kept.update((x, n) for x, n in fresh.items() if len(x) <= 64)
+        before = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(counts[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else counts, out=before[1:])
+        return pa.array(before[first[1:]] - before[first[:-1]])
 
 
 def _encoder(tokenizer: Tokenizer):
@@ -117,10 +139,10 @@ def _encoder(tokenizer: Tokenizer):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        library = tokenizer.load()
+        counter = PieceCounter(tokenizer.load(), tokenizer.cuts_at_spaces)
         for batch in batches:
             for piece in pieces(batch, "text", BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([piece.column("digest"), _counts(library, piece.column("text"), tokenizer.cuts_at_spaces)], names=["digest", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([piece.column("digest"), counter.counts(piece.column("text"))], names=["digest", "n_tokens"])
 
     return count
 
@@ -151,7 +173,7 @@ def _digested(docs: DataFrame, tokenizer: Tokenizer, id_column: str, text_column
     content: Column = F.col("text")
     if tokenizer.normalises:
         kind = rows.schema["doc_id"].dataType.simpleString()
-        rows, content = rows.mapInArrow(_contents(tokenizer), f"doc_id {kind}, n_bytes long, text string, content string"), F.col("content")
+        rows, content = rows.mapInArrow(tidy(_contents(tokenizer)), f"doc_id {kind}, n_bytes long, text string, content string"), F.col("content")
     return rows.select("doc_id", "n_bytes", "text", F.unhex(F.sha2(content, 256)).alias("digest"))
 
 
@@ -192,7 +214,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_column
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
         if n_missing > BROADCAST_ROWS:
             texts = texts.join(missing, "digest", "left_semi")
-        counted = texts.select("digest", "text").mapInArrow(_encoder(tokenizer), _CACHE)
+        counted = texts.select("digest", "text").mapInArrow(tidy(_encoder(tokenizer)), _CACHE)
         counted.write.mode("append").parquet(f"{cache}/version={tokenizer.version}")
     counts = stored(spark, cache, tokenizer)
     total = digests.agg(F.sum("n_rows")).first()[0] or 0

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimscope.llm.arrays import NOT_SPACE, mix, ngrams, pieces, utf8, words
+from claimscope.llm.digest_cache import PieceCounter
 from claimscope.llm.sentencepiece_codec import MODEL, codec, read_model
-from claimscope.llm.tables import small_side
+from claimscope.llm.tables import small_side, tidy
 from claimscope.session import materialise
 
 PIECE_BYTES = (2 << 20) - 1
@@ -109,9 +110,10 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(message)
-        vocabularies = [Tokenizer.from_str(x) for x in others]
+        vocabularies = [PieceCounter(Tokenizer.from_str(x), cuts_at_spaces=True) for x in others]
         ascii_byte = np.array([k == 6 and int(p[3:5], 16) < 128 for p, _, k in own.model.pieces])
         fallback = own.is_byte & ~ascii_byte
+        own.forget()
         for batch in batches:
             for part in pieces(batch, "text", PIECE_BYTES):
                 column = part.column("text")
@@ -132,14 +134,14 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
                         pa.array(np.diff(found.first)), pa.array(_per_text(_LEADS[data] & NOT_SPACE[data], offsets)), pa.array(_per_text(_SYMBOLS[data], offsets)),
                         pa.array([_duplicate_lines(x.encode()) if "\n" in x else 0 for x in texts], pa.int64()), pa.array(_repeated_words(found)),
                         pa.array(n_tokens), pa.array(chars / np.maximum(n_tokens, 1)), pa.array(byte_share, pa.float64()), pa.array([_entropy(x) for x in ids], pa.float64()),
-                        *[pa.array(chars / np.maximum(np.fromiter((len(v.encode(x, add_special_tokens=False)) for x in texts), np.int64, n_texts), 1)) for v in vocabularies],
+                        *[pa.array(chars / np.maximum(v.counts(column.fill_null("")).to_numpy(), 1)) for v in vocabularies],
                     ],
                     ["doc_id", "lang", "script", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *_MEASURES],
                 )
 
     lang = F.lit(None).cast("string") if lang_column is None else docs[lang_column].cast("string")
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"), lang.alias("lang"))
-    return rows.mapInArrow(run, _SCHEMA.format(kind=kind))
+    return rows.mapInArrow(tidy(run), _SCHEMA.format(kind=kind))
 
 
 def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:

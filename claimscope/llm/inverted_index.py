@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.arrays import ALNUM, Words, pieces, words
-from claimscope.llm.tables import text_mark, without_rows
+from claimscope.llm.tables import text_mark, tidy, without_rows
 from claimscope.session import materialise
 
 #: Words after which a segment is closed; a longer text still is in one segment.
@@ -107,7 +107,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     text = docs[text_column]
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_mark(text).alias("mark"), text.alias("text"))
-    return materialise(rows.mapInArrow(run, _INDEX))
+    return materialise(rows.mapInArrow(tidy(run), _INDEX))
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def item_words(items: DataFrame, id_column: str = "item_id", text_column: str =
                 yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.ListArray.from_arrays(pa.array(found.first, pa.int32()), spelt)], ["item_id", "words"])
 
     rows = items.select(items[id_column].cast("string").alias("item_id"), items[text_column].alias("text"))
-    return rows.filter("item_id IS NOT NULL").mapInArrow(run, "item_id string, words array<string>").filter("size(words) > 0")
+    return rows.filter("item_id IS NOT NULL").mapInArrow(tidy(run), "item_id string, words array<string>").filter("size(words) > 0")
 
 
 @dataclass

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from claimscope.llm.arrays import pieces, utf8
+from claimscope.llm.tables import tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -181,7 +182,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_column
                 of = pa.array(text[keep])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(of), part.column("lang").take(of), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["id", "lang", "bytes"])
 
-    samples = sorted((r["id"] or "", r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(cut, "id string, lang string, bytes binary").collect())
+    samples = sorted((r["id"] or "", r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(tidy(cut), "id string, lang string, bytes binary").collect())
     return fit(np.frombuffer(b"".join(x[2] for x in samples), np.uint8).reshape(-1, WINDOW), [x[1] for x in samples])
 
 
@@ -238,7 +239,7 @@ def identify(docs: DataFrame, net: Network, text_column: str = "text", lang_name
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*docs_columns, lang_name, score_name])
 
     docs_columns = list(docs.columns)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def free_name(docs: DataFrame, name: str) -> str:

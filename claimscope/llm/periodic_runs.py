@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.arrays import NOT_SPACE, pieces, utf8
+from claimscope.llm.tables import tidy
 
 #: Bytes of text worked on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -254,4 +255,4 @@ def periodic_runs(docs: DataFrame, least_length: int = 24, least_periods: int =
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), n_words, runs, collapsed.cast(pa.string())], names=["doc_id", "n_words", "runs", "collapsed"])
 
     id_type = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(find, f"doc_id {id_type}, n_words long, runs array<{RUN}>, collapsed string")
+    return given.mapInArrow(tidy(find), f"doc_id {id_type}, n_words long, runs array<{RUN}>, collapsed string")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from claimscope.llm.arrays import pieces
+from claimscope.llm.tables import tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -31,7 +32,7 @@ MODEL_BYTES = 64 << 20
 BATCH_BYTES = 1 << 20
 
 #: Words that a Python worker keeps with their ids; a batch of more is held for as long as it is encoded.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 # fixed values: kinds of pieces and of models in the message
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -216,6 +217,10 @@ class Codec:
             self._lossy.update(w for w, i in zip(part, ids) if b"".join(map(surface, i)) != b" " + w.encode())
         return self._ids
 
+    def forget(self) -> None:
+        """Empty the table: a worker that waits for its next task holds the model alone."""
+        self._ids, self._lossy = {}, set()
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False) if ids else []
 
@@ -246,6 +251,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(message, threads)
+        own.forget()
         for batch in batches:
             for part in pieces(batch, "text", BATCH_BYTES):
                 texts = part.column("text").to_pylist()
@@ -262,9 +268,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id",
                     ],
                     ["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"],
                 )
+        own.forget()
 
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, id_column: str = "doc_id", ids_column: str = "ids", threads: int = 2) -> DataFrame:
@@ -280,7 +287,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())], ["doc_id", "text"])
 
     rows = encoded.select(encoded[id_column].alias("doc_id"), encoded[ids_column].alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def parity_mismatches(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -302,4 +309,4 @@ def parity_mismatches(docs: DataFrame, model_path: str = MODEL, id_column: str =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(bad, pa.int64())), pa.array([a[i] for i in bad], kinds), pa.array([b[i] for i in bad], kinds)], ["doc_id", "ids", "expected"])
 
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, expected array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, expected array<int>")

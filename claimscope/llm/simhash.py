@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from claimscope.llm.tables import tidy
 from claimscope.session import materialise
 
 BITS = 64
@@ -74,7 +75,7 @@ def _marked(docs: DataFrame, id_column: str, text_column: str, words_per_shingle
 
     text = docs[text_column]
     rows = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fingerprint long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, fingerprint long")
 
 
 def covering_masks(radius: int) -> list[int]:
