@@ -14,19 +14,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.arrays import ALNUM, mix, pieces, words
+from claimscope.llm.tables import tidy
+from claimscope.session import materialise
 
 PIECE_BYTES = (2 << 20) - 1
 
-#: Labelled documents of each class that the fit uses at most.
+#: Labelled documents of each class that the fit uses at most; each with all its sentences.
 ROWS_PER_CLASS = 2500
 
-#: Bytes of one labelled text that the fit uses at most, whole sentences from evenly spread places.
-FIT_BYTES = 20_000
-
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6, 8)
 
@@ -85,19 +84,36 @@ def noisy_or(p: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n_texts))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.3, decay: float = 1e-6, seed: int = 0) -> Model:
+#: A labelled document as the fit sees it: features of its words, the sentence of each, how many sentences.
+Instance = tuple[np.ndarray, np.ndarray, int]
+
+
+def instance(s: Sentences) -> Instance:
+    """The sentences of a single text."""
+    return s.features.astype(np.int32), s.sentence.astype(np.int32), len(s)
+
+
+def _together(docs: list[Instance]) -> Sentences:
+    sizes = [n for _, _, n in docs]
+    before = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    nowhere = np.zeros(sum(sizes), np.int64)
+    features = np.concatenate([f for f, _, _ in docs])
+    return Sentences(features, np.concatenate([s + b for (_, s, _), b in zip(docs, before)]), np.repeat(np.arange(len(docs)), sizes), nowhere, nowhere, len(docs))
+
+
+def fit(docs: list[Instance], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.3, decay: float = 1e-5, seed: int = 0) -> Model:
     """Weights that make the noisy-or of the sentence scores agree with the labels (Adam, logistic loss)."""
     weights = np.zeros(1 << FEATURE_BITS)
     bias = -9.0
-    if not texts:
+    if not docs:
         return Model(weights, bias)
     rng = np.random.default_rng(seed)
     y_all = np.array(labels, float)
     parts = []
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(docs))
     for at in range(0, len(order), batch):
         chosen = order[at : at + batch]
-        parts.append((sentences(pa.array([texts[i] for i in chosen], pa.string())), y_all[chosen]))
+        parts.append((_together([docs[i] for i in chosen]), y_all[chosen]))
     share = np.clip(y_all.mean(), 0.02, 0.98)
     m, v, mb, vb, t = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0, 0
     for epoch in range(epochs):
@@ -127,29 +143,40 @@ def fit(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 128,
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
-    """A model from at most ``rows_per_class`` labelled documents of each class, chosen by a hash of the id.
+    """A model from at most about ``rows_per_class`` labelled documents of each class, chosen by a hash of the id.
 
-    A document with several labels counts as toxic if one of them says so. Labels without
-    document, ids that are null and null labels are left out.
+    The words of all sentences of a chosen text are hashed on the executors; their features come
+    to the driver, 28 bytes for each different word of a sentence. A document with several labels
+    counts as toxic if one of them says so. Equal texts of one id count once; if an id stands
+    for so many texts that a class exceeds its rows, its texts are chosen by a hash of their own.
+    Labels without document, ids that are null and null labels are left out.
     """
     marked = labels.select(labels[id_column].alias("label_id"), labels[label_column].cast("int").alias("y"))
     marked = marked.filter("label_id IS NOT NULL AND y IS NOT NULL").groupBy("label_id").agg(F.max(F.when(F.col("y") == 1, 1).otherwise(0)).alias("y"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    place = F.shiftrightunsigned(F.xxhash64("label_id", F.lit("toxicity")), 11).cast("double") / float(1 << 53)
-    limit = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, min(1.0, rows_per_class / max(1, counts.get(y, 0))))])
-    chosen = marked.filter(place < limit[F.col("y")])
+    chosen = marked.filter(_part(counts, rows_per_class, "label_id"))
     text = docs[text_column]
-    rows = docs.join(F.broadcast(chosen), docs[id_column] == chosen["label_id"]).filter(text.isNotNull()).select(_spread(text).alias("text"), "y", "label_id")
-    found = sorted(rows.collect(), key=lambda r: (r["label_id"], r["text"]))
-    return fit([r["text"] for r in found], [r["y"] for r in found])
+    rows = docs.join(F.broadcast(chosen), docs[id_column] == chosen["label_id"]).filter(text.isNotNull())
+    rows = rows.select(F.col("label_id").cast("string").alias("id"), "y", F.xxhash64(text).alias("mark"), text.alias("text"))
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [instance(sentences(batch.column("text").slice(i, 1))) for i in range(batch.num_rows)]
+            features, sentence = (pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], features, sentence, pa.array([f[2] for f in found], pa.int32())], ["id", "y", "mark", "features", "sentence", "n"])
+
+    once = materialise(rows.mapInArrow(tidy(featurise), "id string, y int, mark long, features binary, sentence binary, n int").dropDuplicates(["id", "mark"]))
+    counts = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    found = sorted(once.filter(_part(counts, rows_per_class, "id", "mark")).collect(), key=lambda r: (r["id"], r["mark"]))
+    read = [(np.frombuffer(r["features"], np.int32).reshape(-1, len(PREFIXES) + 1), np.frombuffer(r["sentence"], np.int32), r["n"]) for r in found]
+    return fit(read, [r["y"] for r in found])
 
 
-def _spread(text):
-    """A text of at most FIT_BYTES characters as it is; of a longer one that many, from eight evenly spread places."""
-    part = FIT_BYTES // 8
-    step = F.floor((F.length(text) - part) / 7)
-    places = F.concat_ws("\n", *[F.substring(text, (1 + k * step).cast("int"), F.lit(part)) for k in range(8)])
-    return F.when(F.length(text) <= FIT_BYTES, text).otherwise(places)
+def _part(counts: dict[int, int], rows_per_class: int, *columns: str) -> Column:
+    """Whether the hash of a row's columns is in the part of its class that gives about so many rows; all of a class with fewer."""
+    place = F.shiftrightunsigned(F.xxhash64(*columns, F.lit("toxicity")), 11).cast("double") / float(1 << 53)
+    limit = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, min(1.0, rows_per_class / max(1, counts.get(y, 0))))])
+    return place < limit[F.col("y")]
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -177,4 +204,4 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, id_column: str = "d
                 )
 
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, n_sentences long, offending array<struct<begin: long, end: long, score: double>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, score double, n_sentences long, offending array<struct<begin: long, end: long, score: double>>")
