@@ -116,7 +116,7 @@ def indexed_documents(index: DataFrame) -> DataFrame:
 
 
 def item_words(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """item_id (as text), its words; items without id or without words are left out."""
+    """item_id (as text), its words; items without words are left out. Rows without id keep their words, under null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +126,7 @@ def item_words(items: DataFrame, id_column: str = "item_id", text_column: str =
                 yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.ListArray.from_arrays(pa.array(found.first, pa.int32()), spelt)], ["item_id", "words"])
 
     rows = items.select(items[id_column].cast("string").alias("item_id"), items[text_column].alias("text"))
-    return rows.filter("item_id IS NOT NULL").mapInArrow(tidy(run), "item_id string, words array<string>").filter("size(words) > 0")
+    return rows.mapInArrow(tidy(run), "item_id string, words array<string>").filter("size(words) > 0")
 
 
 @dataclass
@@ -180,7 +180,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, phrase_words: int = 10, s
     A window is ``phrase_words`` consecutive words of an item, or all words of a shorter item.
     starts are word numbers in the document, from 0, ascending. With ``slop`` a term may stand up
     to so many words before or after its place in the window; places are then those of the window
-    as aligned with its rarest term. Rows of one item_id are one item.
+    as aligned with its rarest term. Rows of one item_id are one item, as are those without.
     """
     spark = index.sparkSession
     found = materialise(item_words(items, id_column, text_column))
@@ -230,22 +230,23 @@ def contamination(docs: DataFrame, items: DataFrame, phrase_words: int = 10, id_
     """One row per row of ``docs``: doc_id, mark, n_words, n_hit, n_items, items.
 
     n_hit counts words inside any occurrence of a window of any item; items are the ids, as text
-    and sorted, of the items with occurring windows. Null and empty texts have no words; other
+    and sorted, of the items with occurring windows. Items without id hit as others do; they
+    count as one item, which has no entry in items. Null and empty texts have no words; other
     columns are left out whatever their names; with no items nothing is hit.
     """
     index = build_index(docs, id_column, text_column)
     matches = phrase_matches(index, items, phrase_words)
     spans = F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("length")).alias("e")))
-    joined = matches.groupBy("segment", "doc_no").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.flatten(F.collect_list(spans))).alias("spans"))
+    joined = matches.groupBy("segment", "doc_no").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("nameless"), F.sort_array(F.flatten(F.collect_list(spans))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n")),
     )["n"]
-    hits = joined.select("segment", "doc_no", "items", covered.alias("n_hit"))
+    hits = joined.select("segment", "doc_no", "items", "nameless", covered.alias("n_hit"))
     return indexed_documents(index).join(hits, ["segment", "doc_no"], "left").select(
         "doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce(F.size("items") + F.col("nameless"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
