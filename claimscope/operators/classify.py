@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.functions.skew import running_total
-from claimscope.operators.outliers import fit_sample, with_rates
+from claimscope.operators.neighbours import distinct_points, nearest_neighbours, weighed
+from claimscope.operators.outliers import with_rates
 from claimscope.session import materialise
 
 MODELS = ["random_forest", "logistic_regression", "gradient_boosting", "neural_network", "linear_svm"]
@@ -70,22 +70,17 @@ def with_class_weight(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(class_weights(rows, label).drop("class_count")), label)
 
 
-def oversample(
-    rows: DataFrame, key: str, label: str, features: list[str], k: int = 5, reference: int = 2000, seed: int = 42
-) -> DataFrame:
+def oversample(rows: DataFrame, key: str, label: str, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Even out two classes with synthetic minority rows.
 
-    A synthetic row lies between a minority row and one of its ``k`` nearest neighbours in
-    a reference set of minority rows, whose size is a parameter of the method.
+    A synthetic row lies between a minority row and one of its ``k`` nearest other rows among all
+    rows of the minority. A row with a null feature, or without any other, is copied.
     """
     counts = dict(sorted(((r[0], r[1]) for r in rows.groupBy(label).count().collect()), key=lambda x: x[1]))
     (minor, few), (_, many) = list(counts.items())[0], list(counts.items())[-1]
     missing = many - few
-    small = rows.where(F.col(label) == minor).select(key, *features)
-    sampled = fit_sample(small, key, reference, seed).collect()
-    base = np.array([[row[f] for f in features] for row in sampled], dtype=float)
-    base_keys = np.array([str(row[key]) for row in sampled], dtype=object)
-    k = min(k, len(base) - 1)
+    small = rows.where(F.col(label) == minor).select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    k = max(1, min(k, few - 1))
     whole, rest = divmod(missing, few)
     spot = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     placed = running_total(small.withColumns({"_spot": spot, "_one": F.lit(1)}), [], ["_spot", key], "_one", "_place")
@@ -97,25 +92,23 @@ def oversample(
             "_step": F.pmod(F.xxhash64(key, "_copy", F.lit(seed + 1)), F.lit(10**6)) / 10**6,
         }
     )
-
-    def interpolate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch[features].to_numpy(dtype=float)
-            squares = (values**2).sum(1)[:, None] + (base**2).sum(1)[None, :] - 2 * values @ base.T
-            # a row is no neighbour of itself; rows outside the reference set are not in it
-            squares[batch[key].astype(str).to_numpy(dtype=object)[:, None] == base_keys[None, :]] = np.inf
-            order = np.argsort(squares, axis=1)[:, :k]
-            other = base[order[np.arange(len(values)), batch["_pick"].to_numpy()]]
-            made = values + batch["_step"].to_numpy()[:, None] * (other - values)
-            out = pd.DataFrame(made, columns=features)
-            out.insert(0, key, batch[key].astype(str) + "-S" + batch["_copy"].astype(str))
-            yield out
-
-    schema = f"{key} string, " + ", ".join(f"{f} double" for f in features)
-    synthetic = wanted.select(key, *features, "_copy", "_pick", "_step").mapInPandas(interpolate, schema)
-    synthetic = synthetic.withColumns({label: F.lit(minor), "synthetic": F.lit(True)})
+    points = distinct_points(small, features)
+    found = nearest_neighbours(points, points, features, k + 1)
+    near = found.select("point", weighed(F.col("neighbours"), k, F.col("point")).alias("near"))
+    near = points.join(near, "point").select("near", *features)
+    # the neighbour that holds the picked one of the k rows
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(None).cast("long").alias("point"))
+    picked = F.aggregate(
+        "near", start,
+        lambda a, x: F.when(a["rows"] > F.col("_pick"), a).otherwise(F.struct((a["rows"] + x["rows"]).alias("rows"), x["point"].alias("point"))),
+    )["point"]
+    others = points.select(F.col("point").alias("_other"), *[F.col(f).alias(f"_to_{f}") for f in features])
+    paired = wanted.join(near, features, "left").withColumn("_other", picked).join(others, "_other", "left")
+    made = {f: F.coalesce(F.col(f) + F.col("_step") * (F.col(f"_to_{f}") - F.col(f)), F.col(f)) for f in features}
+    name = F.concat(F.col(key).cast("string"), F.lit("-S"), F.col("_copy").cast("string")).alias(key)
+    synthetic = paired.select(name, *[c.alias(f) for f, c in made.items()], F.lit(minor).alias(label), F.lit(True).alias("synthetic"))
     original = rows.select(F.col(key).cast("string"), *[F.col(f).cast("double") for f in features], label)
-    return original.withColumn("synthetic", F.lit(False)).unionByName(synthetic.select(*original.columns, "synthetic"))
+    return original.withColumn("synthetic", F.lit(False)).unionByName(synthetic)
 
 
 # --- models ------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Outlier detectors fitted on one table (usually the non-fraud rows) and applied to another.
 
 Fitted parameters are a few numbers per feature; scoring is column arithmetic. Detectors
-that need a model (isolation trees, neighbour distances) fit it on a sample of a size set
-by parameter and score every row in Arrow batches.
+by neighbours search them among all fit rows (``neighbours``); isolation trees draw samples of a
+size set by parameter and score every row in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimscope.functions.skew import quantiles
+from claimscope.operators.neighbours import distinct_points, nearest_neighbours, weighed
 from claimscope.session import materialise
 
 
@@ -209,60 +209,23 @@ def most_anomalous(rows: DataFrame, key: str, k: int = 10, above: float = 0.8) -
 
 
 def dbscan_noise(rows: DataFrame, key: str, features: list[str], eps: float = 0.5, minimum: int = 5) -> DataFrame:
-    """Rows that are neither core points nor within ``eps`` of one.
+    """Rows that are neither core points nor within ``eps`` of one, in any number of features.
 
-    Equal points are counted together and the plane is cut into cells whose points are all
-    within ``eps`` of each other. A cell of at least ``minimum`` rows holds core points
-    only, so just the points of thinner cells are compared with their surroundings. Those
-    are fewer than ``minimum`` per cell, which keeps the comparisons linear in the rows.
+    A row is a core point if its ``minimum`` nearest rows, itself included, are within ``eps``; the
+    others are noise unless the core point nearest to them is. Both are searches for a few
+    neighbours, so the work does not grow with the number of rows in a dense place. Rows with a
+    null feature are noise.
     """
-    width = eps / math.sqrt(len(features))
-    cells = [f"_cell{i}" for i in range(len(features))]
-    points = (
-        rows.groupBy(*features)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({c: F.floor(F.col(f) / width) for c, f in zip(cells, features)})
-    )
-    sizes = points.groupBy(*cells).agg((F.sum("n") >= minimum).alias("dense"))
-    points = materialise(points.join(sizes, cells))
-    reach = math.ceil(math.sqrt(len(features)))
-    steps = F.array(
-        *[
-            F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(step)])
-            for step in product(range(-reach, reach + 1), repeat=len(features))
-        ]
-    )
-    thin = points.where("NOT dense").select(*features, *cells, F.explode(steps).alias("step"))
-    looking = thin.select(
-        *[F.col(f).alias(f"p_{f}") for f in features],
-        *[(F.col(c) + F.col(f"step.s{i}")).alias(c) for i, c in enumerate(cells)],
-    )
-    distance = sum(
-        ((F.col(f"p_{f}") - F.col(f)) * (F.col(f"p_{f}") - F.col(f)) for f in features), F.lit(0.0)
-    )
-    near = looking.join(points, cells).where(distance <= eps * eps)
-    thin_core = (
-        near.groupBy(*[f"p_{f}" for f in features])
-        .agg((F.sum("n") >= minimum).alias("core"), F.bool_or("dense").alias("beside_dense"))
-    )
-    thin_core = materialise(thin_core)
-    core_points = thin_core.where("core").select(*[F.col(f"p_{f}").alias(f) for f in features])
-    beside_core = (
-        near.where("NOT dense")
-        .select(*[f"p_{f}" for f in features], *features)
-        .join(core_points, features, "left_semi")
-        .select(*[f"p_{f}" for f in features])
-        .distinct()
-        .withColumn("beside_core", F.lit(True))
-    )
-    noise = (
-        thin_core.join(beside_core, [f"p_{f}" for f in features], "left")
-        .where(~F.col("core") & ~F.col("beside_dense") & F.col("beside_core").isNull())
-        .select(*[F.col(f"p_{f}").alias(f) for f in features], F.lit(True).alias("noise"))
-    )
-    return rows.join(noise, features, "left").select(
-        key, F.coalesce("noise", F.lit(False)).alias("is_noise")
-    )
+    points = distinct_points(rows, features)
+    nearest = nearest_neighbours(points, points, features, minimum)
+    held = F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    core = (held >= minimum) & (F.element_at("neighbours", -1)["distance"] <= eps)
+    marked = materialise(points.join(nearest.select("point", core.alias("core")), "point"))
+    beside = nearest_neighbours(marked.where("NOT core").drop("core"), marked.where("core").drop("core"), features, 1)
+    close = beside.where(F.try_element_at("neighbours", F.lit(1))["distance"] <= eps).select("point", F.lit(True).alias("close"))
+    quiet = marked.join(close, "point", "left").where("core OR close").select(*features, F.lit(True).alias("quiet"))
+    numbers = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    return numbers.join(quiet, features, "left").select(key, F.col("quiet").isNull().alias("is_noise"))
 
 
 def fit_sample(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
@@ -380,43 +343,53 @@ def isolation_outliers(
 
 
 def local_outlier_factor(
-    fit_rows: DataFrame, rows: DataFrame, key: str, features: list[str], k: int = 20,
-    contamination: float = 0.1, reference: int = 2000, seed: int = 42,
+    fit_rows: DataFrame, rows: DataFrame, key: str, features: list[str], k: int = 20, contamination: float = 0.1
 ) -> DataFrame:
-    """Local outlier factor of rows against fit rows (novelty mode).
+    """(key, lof, lof_outlier): local outlier factor of rows against all fit rows (novelty mode).
 
-    The model is a reference set of at most ``reference`` fit rows with their densities;
-    it is the same size at any scale, and every row is scored against all of it.
+    Neighbours are searched among every fit row; a fit row is no neighbour of itself when densities
+    are taken, but is when rows are scored, as any other row at distance 0. Rows with a null
+    feature have no factor and are no outliers, and so has any row if there is one fit row only.
     """
-    sample = fit_sample(fit_rows.select(key, *features), key, reference, seed)
-    base = np.array([[row[f] for f in features] for row in sample.collect()], dtype=float)
-    k = min(k, len(base) - 1)
-
-    def nearest(values: np.ndarray, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
-        squares = (values**2).sum(1)[:, None] + (base**2).sum(1)[None, :] - 2 * values @ base.T
-        distance = np.sqrt(np.maximum(squares, 0.0))
-        if skip_self:
-            np.fill_diagonal(distance, np.inf)
-        place = np.argpartition(distance, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(distance, place, axis=1), place
-
-    own, place = nearest(base, True)
-    radius = own.max(axis=1)
-    density = 1.0 / (np.maximum(own, radius[place]).mean(axis=1) + 1e-10)
-    fitted = density[place].mean(axis=1) / density
-    cut = float(np.quantile(fitted, 1 - contamination))
+    numbers = [F.col(f).cast("double").alias(f) for f in features]
+    both = rows.select(*numbers, F.lit(0).alias("fit")).unionAll(fit_rows.select(*numbers, F.lit(1).alias("fit"))).dropna()
+    points = both.groupBy(*features).agg(F.sum("fit").alias("n"))
+    points = materialise(points.select(F.monotonically_increasing_id().alias("point"), *features, "n"))
+    base = points.where("n > 0")
+    k = min(k, int(base.agg(F.sum("n")).first()[0] or 0) - 1)
+    scored = rows.select(key, *numbers)
+    if k < 1:
+        return scored.select(key, F.lit(None).cast("double").alias("lof"), F.lit(False).alias("lof_outlier"))
+    found = nearest_neighbours(points, base, features, k + 1)
+    own = materialise(
+        found.join(base.select("point", "n"), "point", "left_semi")
+        .select("point", weighed(F.col("neighbours"), k, F.col("point")).alias("near"))
+        .withColumn("radius", F.element_at("near", -1)["distance"])
+    )
+    radius = own.select(F.col("point").alias("neighbour"), "radius")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch[features].to_numpy(dtype=float)
-            far, at = nearest(values, False)
-            here = 1.0 / (np.maximum(far, radius[at]).mean(axis=1) + 1e-10)
-            yield pd.DataFrame({key: batch[key], "lof": density[at].mean(axis=1) / here})
+    def densities(lists: DataFrame) -> DataFrame:
+        """One over the mean distance to the neighbours, where none counts as nearer than its own radius."""
+        reach = F.sum(F.col("rows") * F.greatest("distance", "radius")) / k
+        return _apart(lists).join(radius, "neighbour").groupBy("point").agg((1 / (reach + 1e-10)).alias("density"))
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *features).mapInPandas(score, f"{key} {kind}, lof double").withColumn(
-        "lof_outlier", F.col("lof") > cut
-    )
+    fitted = materialise(densities(own))
+    of_neighbour = fitted.select(F.col("point").alias("neighbour"), F.col("density").alias("theirs"))
+
+    def factors(lists: DataFrame, density: DataFrame) -> DataFrame:
+        around = _apart(lists).join(of_neighbour, "neighbour").groupBy("point").agg((F.sum(F.col("rows") * F.col("theirs")) / k).alias("around"))
+        return around.join(density, "point").join(points, "point").select(*features, (F.col("around") / F.col("density")).alias("lof"))
+
+    known = fit_rows.select(*numbers).join(factors(own, fitted), features).select("lof")
+    cut = quantiles(materialise(known), {"lof": [1 - contamination]})["lof"][1 - contamination]
+    lists = materialise(found.select("point", weighed(F.col("neighbours"), k).alias("near")))
+    out = scored.join(factors(lists, densities(lists)), features, "left")
+    return out.select(key, "lof", F.coalesce(F.col("lof") > cut, F.lit(False)).alias("lof_outlier"))
+
+
+def _apart(lists: DataFrame) -> DataFrame:
+    """A row for each query and neighbour."""
+    return lists.select("point", F.explode("near").alias("x")).select("point", F.col("x.point").alias("neighbour"), "x.distance", "x.rows")
 
 
 # --- robust covariance and reconstruction ------------------------------------------------

@@ -221,10 +221,50 @@ def isolation_forest_outliers(spark, sf_dir):
     return O.isolation_outliers(rows.where("NOT fraud_indicator"), rows, "claim_id", FEATURES)
 
 
-@registry.query()
+def _grid(spark, sf_dir):
+    """Standardised features to three decimals, so that distances and ties are the same on both sides."""
+    rows = points(spark, sf_dir)
+    mean, cov = O.moments(rows.where("NOT fraud_indicator"), FEATURES)
+    scaled = [F.round((F.col(f) - float(m)) / float(v**0.5), 3).alias(c) for c, f, m, v in zip("xyz", FEATURES, mean, cov.diagonal())]
+    return materialise(rows.select("claim_id", "fraud_indicator", *scaled))
+
+
+_SPACE = "grid AS (SELECT claim_id, fraud_indicator, " + ", ".join(f"round(({f} - {f}_m) / {f}_s, 3) AS {c}" for c, f in zip("xyz", FEATURES)) + " FROM points, m)"
+_APART = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+def _nearest_sql(rows, source):
+    """The nearest 20 rows of each point in ``lists``, of which ``rows`` count."""
+    return f"""(SELECT *, least(r, 20 - before) AS take FROM (
+        SELECT *, coalesce(sum(r) OVER (PARTITION BY x, y, z ORDER BY d, nx, ny, nz ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT *, {rows} AS r FROM {source}) WHERE r > 0) WHERE before < 20)"""
+
+
+@registry.query(
+    over_claims(
+        """SELECT claim_id, round(lof, 4) AS lof, lof > cut AS lof_outlier FROM grid JOIN scored USING (x, y, z), cuts""",
+        *FIT[:2],
+        _SPACE,
+        "fit AS (SELECT x, y, z, count(*) AS c FROM grid WHERE NOT fraud_indicator GROUP BY ALL)",
+        f"""near AS (SELECT a.x, a.y, a.z, min({{'d': {_APART}, 'x': b.x, 'y': b.y, 'z': b.z, 'c': b.c}}, 21) AS l
+          FROM (SELECT DISTINCT x, y, z FROM grid) a, fit b GROUP BY ALL)""",
+        "lists AS (SELECT x, y, z, n.d AS d, n.x AS nx, n.y AS ny, n.z AS nz, n.c AS c FROM (SELECT x, y, z, unnest(l) AS n FROM near))",
+        "own AS " + _nearest_sql("c - (nx = x AND ny = y AND nz = z)::INT", "lists SEMI JOIN fit USING (x, y, z)"),
+        "novel AS " + _nearest_sql("c", "lists"),
+        "radii AS (SELECT x AS nx, y AS ny, z AS nz, max(d) AS radius FROM own GROUP BY ALL)",
+        """density AS (SELECT x AS nx, y AS ny, z AS nz, 1 / (sum(take * greatest(d, radius)) / 20 + 1e-10::DOUBLE) AS density
+          FROM own JOIN radii USING (nx, ny, nz) GROUP BY x, y, z)""",
+        """fitted AS (SELECT x, y, z, sum(take * d.density) / 20 / any_value(s.density) AS lof FROM own JOIN density d USING (nx, ny, nz)
+          JOIN density s ON s.nx = x AND s.ny = y AND s.nz = z GROUP BY x, y, z)""",
+        "cuts AS (SELECT quantile_cont(lof, 0.9) AS cut FROM grid JOIN fitted USING (x, y, z) WHERE NOT fraud_indicator)",
+        """scored AS (SELECT x, y, z, sum(take * density) / 20 * (sum(take * greatest(d, radius)) / 20 + 1e-10::DOUBLE) AS lof
+          FROM novel JOIN density USING (nx, ny, nz) JOIN radii USING (nx, ny, nz) GROUP BY x, y, z)""",
+    )
+)
 def local_outlier_factors(spark, sf_dir):
-    rows = _scaled(spark, sf_dir)
-    return O.local_outlier_factor(rows.where("NOT fraud_indicator"), rows, "claim_id", FEATURES)
+    rows = _grid(spark, sf_dir)
+    found = O.local_outlier_factor(rows.where("NOT fraud_indicator"), rows, "claim_id", ["x", "y", "z"])
+    return found.withColumn("lof", rounded(F.col("lof"), 4))
 
 
 @registry.query()
@@ -241,10 +281,23 @@ def reconstruction_outliers(spark, sf_dir):
     return out.select("claim_id", "reconstruction_error", "reconstruction_outlier")
 
 
-@registry.query()
+@registry.query(
+    over_claims(
+        """SELECT claim_id, coalesce(n, 0) < 5 AND NOT coalesce(near_core, false) AS is_noise FROM grid
+        LEFT JOIN around USING (x, y, z) LEFT JOIN beside USING (x, y, z)""",
+        *FIT[:2],
+        _SPACE,
+        "spots AS (SELECT x, y, z, count(*) AS c FROM grid GROUP BY ALL)",
+        f"""pairs AS (SELECT a.x, a.y, a.z, b.x AS bx, b.y AS by, b.z AS bz, b.c FROM spots a JOIN spots b
+          ON b.x BETWEEN a.x - 0.5001 AND a.x + 0.5001 AND {_APART} <= 0.5::DOUBLE)""",
+        "around AS (SELECT x, y, z, sum(c) AS n FROM pairs GROUP BY ALL)",
+        """beside AS (SELECT p.x, p.y, p.z, true AS near_core FROM pairs p JOIN around r ON p.bx = r.x AND p.by = r.y AND p.bz = r.z
+          WHERE r.n >= 5 GROUP BY ALL)""",
+    )
+)
 def density_noise_all_features(spark, sf_dir):
     """Density noise over all FEATURES, at the usual radius of 0.5."""
-    return O.dbscan_noise(_scaled(spark, sf_dir), "claim_id", FEATURES, eps=0.5)
+    return O.dbscan_noise(_grid(spark, sf_dir), "claim_id", ["x", "y", "z"], eps=0.5)
 
 
 #: Detectors of the full ensemble besides the statistical ones, by their flag.
