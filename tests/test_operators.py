@@ -375,8 +375,7 @@ def test_running_history_continues_over_batches(spark, tmp_path):
         spark.createDataFrame(rows[i * 4 : i * 4 + 4], STREAM).coalesce(1).write.mode("append").parquet(source)
     schema = spark.read.parquet(source).schema
     stream = streams.claim_stream(spark, source, schema, 1, "parquet")
-    kept = streams.RunningHistory(spark, str(tmp_path / "history"), streams.HISTORY_SCHEMA)
-    streams.score_against_history(stream, kept, str(tmp_path / "out"), str(tmp_path / "cp"))
+    streams.score_against_history(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     out = {r["claim_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(out) == 12
     # all claims share one day, so the counts run through all batches
@@ -394,8 +393,7 @@ def test_running_history_keeps_its_bound_inside_a_batch(spark, tmp_path):
         for i in range(batches):
             spark.createDataFrame(rows[i * size : (i + 1) * size], STREAM).coalesce(1).write.mode("append").parquet(source)
         stream = streams.claim_stream(spark, source, spark.read.parquet(source).schema, 1, "parquet")
-        kept = streams.RunningHistory(spark, str(tmp_path / f"history{batches}"), streams.HISTORY_SCHEMA)
-        streams.score_against_history(stream, kept, str(tmp_path / f"out{batches}"), str(tmp_path / f"cp{batches}"))
+        streams.score_against_history(stream, str(tmp_path / f"out{batches}"), str(tmp_path / f"cp{batches}"))
         out = spark.read.parquet(str(tmp_path / f"out{batches}")).collect()
         assert max(r["provider_today"] for r in out) == 100
         assert max(r["patient_today"] for r in out if r["patient_today"] is not None) == 50
@@ -412,3 +410,41 @@ def test_repeated_claims_are_dropped(spark, tmp_path):
     stream = streams.claim_stream(spark, source, spark.read.parquet(source).schema, 1, "parquet")
     streams.ingest(streams.without_repeats(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_late_and_repeated_claims(spark, tmp_path):
+    """The watermark that passed a claim is that of two batches before it, as Spark has it for late rows."""
+    schema = "claim_id string, submission_timestamp timestamp"
+
+    def at(day):
+        return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+
+    parts = [
+        [("a", at(0)), ("b", at(1)), ("n", None)], [("c", at(40)), ("a", at(0))], [("d", at(41)), ("c", at(40))],
+        [("e", at(90)), ("x", at(2)), ("d", at(41)), ("y", at(33)), ("z", at(34))], [("x", at(2)), ("f", at(89))],
+    ]
+    source = str(tmp_path / "in")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.claim_stream(spark, source, spark.read.parquet(source).schema, 1, "parquet")
+    accepted, late = str(tmp_path / "accepted"), str(tmp_path / "late")
+    streams.accept_and_set_aside(stream, accepted, late, str(tmp_path / "marks"), str(tmp_path / "cp"))
+    took = sorted(r["claim_id"] for r in spark.read.parquet(accepted).collect())
+    aside = sorted(r["claim_id"] for r in spark.read.parquet(late).collect())
+    assert took == ["a", "b", "c", "d", "e", "f", "n", "z"]
+    assert aside == ["x", "x", "y"]
+
+
+def test_state_grows_with_the_batch_only(spark, tmp_path):
+    """A batch of one provider leaves the state of the others as it is."""
+    source, day = str(tmp_path / "in"), datetime.date(2024, 1, 1)
+    parts = [[(f"A{i:03d}", f"PRV-{i}", f"PAT-{i}", day, None) for i in range(40)], [("B1", "PRV-7", "PAT-7", day, None)], [("B2", "PRV-7", "PAT-9", day, None)]]
+    for part in parts:
+        spark.createDataFrame(part, STREAM).coalesce(1).write.mode("append").parquet(source)
+    seen = []
+    stream = streams.claim_stream(spark, source, spark.read.parquet(source).schema, 1, "parquet")
+    streams.score_against_history(stream, str(tmp_path / "out"), str(tmp_path / "cp"), on_progress=seen.append)
+    puts = [sum(s["customMetrics"]["rocksdbPutCount"] for s in p["stateOperators"]) for p in seen if p["numInputRows"]]
+    assert len(puts) == 3 and puts[0] >= 80 and max(puts[1:]) < puts[0] / 2
+    out = {r["claim_id"]: (r["provider_today"], r["patient_today"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out["B1"] == (2, 2) and out["B2"] == (3, 2) and len(out) == 42
