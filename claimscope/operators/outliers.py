@@ -395,16 +395,107 @@ def _apart(lists: DataFrame) -> DataFrame:
 # --- robust covariance and reconstruction ------------------------------------------------
 
 
-def robust_covariance_outliers(
-    fit_rows: DataFrame, rows: DataFrame, features: list[str], contamination: float = 0.1, rounds: int = 5
-) -> DataFrame:
-    """Distance from a mean and covariance re-estimated on the closest half of the fit rows."""
-    mean, cov = moments(fit_rows, features)
+def _chi_square(x: float, freedom: int) -> float:
+    """Distribution function, by the series of the incomplete gamma function."""
+    a, half = freedom / 2, x / 2
+    if half <= 0:
+        return 0.0
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-15:
+        n += 1
+        term *= half / n
+        total += term
+    return min(1.0, total * math.exp(a * math.log(half) - half - math.lgamma(a)))
+
+
+def consistency_factor(share: float, features: int) -> float:
+    """What the covariance of the closest ``share`` of normal rows is to be multiplied with to be that of all."""
+    low, high = 0.0, 1.0
+    while _chi_square(high, features) < share:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi_square(middle, features) < share else (low, middle)
+    return share / _chi_square(high, features + 2)
+
+
+def _moments_where(rows: DataFrame, features: list[str], conditions: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of the rows of each condition, all from one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    wanted = []
+    for n, condition in enumerate(conditions):
+        part = {f: F.when(condition, F.col(f)) for f in features}
+        wanted += [F.avg(part[f]).alias(f"m{n}_{f}") for f in features]
+        wanted += [F.covar_samp(part[a], part[b]).alias(f"c{n}_{a}_{b}") for a, b in pairs]
+    found = rows.agg(*wanted).first()
+    out = []
+    for n in range(len(conditions)):
+        cov = np.zeros((len(features), len(features)))
+        for a, b in pairs:
+            i, j = features.index(a), features.index(b)
+            cov[i, j] = cov[j, i] = found[f"c{n}_{a}_{b}"] or 0.0
+        out.append((np.array([found[f"m{n}_{f}"] or 0.0 for f in features]), cov))
+    return out
+
+
+def minimum_covariance(
+    rows: DataFrame, features: list[str], starts: int = 50, kept: int = 5, start_rows: int = 2000, seed: int = 42
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the half of the rows whose covariance has the smallest determinant.
+
+    Many random starts, of one row more than there are features, take two concentration steps
+    (the closest half gives the next mean and covariance) on ``start_rows`` rows drawn by a hash;
+    they are places to begin at only. The best ``kept`` go on over all rows, side by side in the
+    same passes, until no determinant falls any more, and the smallest wins. A millionth of each
+    feature's variance is added, so that rows off a plane that holds half of them are far away.
+    """
+    rows = materialise(rows.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna())
+    _, whole = moments(rows, features)
+    ridge = np.diag(np.maximum(np.diag(whole), 1e-300)) * 1e-6
+    total = rows.count()
+    spot = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1_000_000_000))
+    near = rows.where(spot < math.ceil(1e9 * min(1.0, 2 * start_rows / max(total, 1)))).orderBy(spot, *features).limit(start_rows)
+    x = np.array([list(r) for r in near.collect()], dtype=float).reshape(-1, len(features))
+    if len(x) <= len(features) + 1:
+        return moments(rows, features)
+    rng = np.random.default_rng(seed)
+    begun = []
+    for _ in range(starts):
+        chosen = x[rng.choice(len(x), len(features) + 1, replace=False)]
+        mean, cov = chosen.mean(axis=0), np.atleast_2d(np.cov(chosen.T)) + ridge
+        for _ in range(2):
+            off = x - mean
+            closest = x[np.argsort((off @ np.linalg.inv(cov) * off).sum(axis=1), kind="stable")[: len(x) // 2 + 1]]
+            mean, cov = closest.mean(axis=0), np.atleast_2d(np.cov(closest.T)) + ridge
+        begun.append((np.linalg.slogdet(cov)[1], mean, cov))
+    begun.sort(key=lambda c: c[0])
+    # determinants of the drawn rows do not count: the first step over all rows is always taken
+    going, ended = [(math.inf, mean, cov) for _, mean, cov in begun[:kept]], []
+    while going:
+        distances = [mahalanobis_distance(features, mean, np.linalg.inv(cov)) for _, mean, cov in going]
+        cuts = quantiles(rows.select(*[d.alias(f"d{i}") for i, d in enumerate(distances)]), {f"d{i}": [0.5] for i in range(len(going))})
+        stepped = _moments_where(rows, features, [d <= cuts[f"d{i}"][0.5] for i, d in enumerate(distances)])
+        after = [(float(np.linalg.slogdet(cov + ridge)[1]), mean, cov + ridge) for mean, cov in stepped]
+        ended += [a for a, g in zip(after, going) if a[0] >= g[0] - 1e-9]
+        going = _different([a for a, g in zip(after, going) if a[0] < g[0] - 1e-9])
+    _, mean, cov = min(ended, key=lambda c: c[0])
+    return mean, cov * consistency_factor(0.5, len(features))
+
+
+def _different(candidates: list[tuple[float, np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Candidates that have come together count once."""
+    found: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for c in candidates:
+        if not any(abs(c[0] - f[0]) < 1e-9 and np.allclose(c[1], f[1], rtol=1e-9) for f in found):
+            found.append(c)
+    return found
+
+
+def robust_covariance_outliers(fit_rows: DataFrame, rows: DataFrame, features: list[str], contamination: float = 0.1) -> DataFrame:
+    """Distance from the mean and covariance of the densest half of the fit rows (``minimum_covariance``)."""
+    mean, cov = minimum_covariance(fit_rows, features)
     distance = mahalanobis_distance(features, mean, np.linalg.pinv(cov))
-    for _ in range(rounds):
-        cut = quantiles(fit_rows.select(distance.alias("d")), {"d": [0.5]})["d"][0.5]
-        mean, cov = moments(fit_rows.where(distance <= cut), features)
-        distance = mahalanobis_distance(features, mean, np.linalg.pinv(cov))
     limit = quantiles(fit_rows.select(distance.alias("d")), {"d": [1 - contamination]})["d"][1 - contamination]
     return rows.withColumns({"robust_distance": distance, "covariance_outlier": distance > limit})
 
