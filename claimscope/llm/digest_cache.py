@@ -40,7 +40,7 @@ FILE_BYTES = 64 << 20
 BATCH_BYTES = 1 << 20
 
 #: Distinct pieces whose counts a task keeps; when there are more it begins anew.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
