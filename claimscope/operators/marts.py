@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimscope import constants as K
 from claimscope.functions.skew import GROUP_LIMIT, over_recent, running_total, with_average_rank
@@ -220,22 +221,36 @@ def early_refills(fills: DataFrame, days_early: int = 5, limit: int = GROUP_LIMI
     )
 
 
-def crowded_prescribers(claims: DataFrame, key: str, days: int = 30, more_than: int = 3) -> DataFrame:
-    """Claims whose patient saw more than ``more_than`` prescribers in the last ``days`` days.
+def crowded_prescribers(claims: DataFrame, key: str, days: int = 30, more_than: int = 3, out: str = "prescribers") -> DataFrame:
+    """Claims whose patient saw more than ``more_than`` values of ``key`` in the last ``days`` days.
 
-    Every visit marks the days it counts for, so each patient-day is a plain distinct count
-    and no patient's claims are brought together.
+    A visit counts for its own day and ``days`` more; visits of one patient to one key whose
+    spans meet make one span, which adds one at its start and takes it away after its end. The
+    running sum of these steps is the number of keys. Steps are summed per patient and day
+    first, so the calendar bounds the rows of a patient, and those of a patient and key.
+    Claims without patient or date have no result; a null key is nobody.
     """
-    visits = claims.where(F.col(key).isNotNull()).select("patient_id", "date_of_service", key).distinct()
-    marked = visits.select(
-        "patient_id", key,
-        F.explode(F.sequence("date_of_service", F.date_add("date_of_service", days))).alias("date_of_service"),
+    seen = claims.where("patient_id IS NOT NULL AND date_of_service IS NOT NULL").select(
+        "patient_id", F.col("date_of_service").alias("day"), F.col(key).alias("who")
     )
-    wanted = claims.select("patient_id", "date_of_service").distinct()
+    visits = seen.where("who IS NOT NULL").groupBy("patient_id", "who").agg(F.sort_array(F.collect_set("day")).alias("at"))
+
+    def apart(day: Column, other: Column) -> Column:
+        return other.isNull() | (F.abs(F.datediff(day, other)) > days + 1)
+
+    starts = F.filter("at", lambda day, i: apart(day, F.get("at", i - 1)))
+    ends = F.filter("at", lambda day, i: apart(day, F.get("at", i + 1)))
+    steps = F.concat(
+        F.transform(starts, lambda day: F.struct(day.alias("day"), F.lit(1).alias("step"))),
+        F.transform(ends, lambda day: F.struct(F.date_add(day, days + 1).alias("day"), F.lit(-1).alias("step"))),
+    )
+    asked = seen.select("patient_id", "day", F.lit(0).alias("step"), F.lit(True).alias("asked"))
+    changes = visits.select("patient_id", F.inline(steps)).withColumn("asked", F.lit(False))
+    by_day = changes.unionByName(asked).groupBy("patient_id", "day").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    so_far = Window.partitionBy("patient_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     counts = (
-        marked.join(wanted, ["patient_id", "date_of_service"], "left_semi")
-        .groupBy("patient_id", "date_of_service")
-        .agg(F.count_distinct(key).alias("prescribers"))
-        .where(F.col("prescribers") > more_than)
+        by_day.withColumn(out, F.sum("step").over(so_far))
+        .where(F.col("asked") & (F.col(out) > more_than))
+        .select("patient_id", F.col("day").alias("date_of_service"), out)
     )
-    return claims.join(counts, ["patient_id", "date_of_service"]).select("claim_id", "prescribers")
+    return claims.join(counts, ["patient_id", "date_of_service"]).select("claim_id", out)

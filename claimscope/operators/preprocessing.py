@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.functions.columns import as_flag, or_empty
-from claimscope.functions.skew import quantiles
+from claimscope.functions.skew import quantiles, running_total
+from claimscope.session import materialise
 
 
 def amount() -> Column:
@@ -119,34 +120,64 @@ def amount_position(claims: DataFrame) -> DataFrame:
     )
 
 
+def value_places(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value, place, n): the distinct values of each column, numbered from 0 in order, and their rows.
+
+    Nulls are no values. The table is written out, as places must not change between uses.
+    """
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = rows.select(F.inline(each)).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(counts.withColumn("_one", F.lit(1)), ["feature"], ["value"], "_one", "place")
+    return materialise(placed.select("feature", "value", (F.col("place") - 1).alias("place"), "n"))
+
+
+def with_place(rows: DataFrame, places: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with the place of the value of ``column``; null for an unknown value and for null."""
+    own = places.where(F.col("feature") == column).select(F.col("value").alias("_value"), F.col("place").alias(out))
+    return rows.join(own, rows[column].cast("string") == own["_value"], "left").drop("_value")
+
+
+def one_hot_entries(rows: DataFrame, key: str, places: DataFrame, columns: list[str]) -> DataFrame:
+    """One-hot coding in long form: (key, feature, place) for each entry that is 1.
+
+    The first value of a feature has no entry, as in ``one_hot``; nor have unknown values and nulls.
+    """
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
+    hot = places.where("place > 0").select("feature", "value", "place")
+    return rows.select(key, F.inline(each)).join(hot, ["feature", "value"]).select(key, "feature", "place")
+
+
 @dataclass
 class Preprocessor:
     """Imputation, encoding and scaling fitted on one table.
 
-    The fitted values are a handful per column (the category lists are those of coded
-    columns such as claim type, and are refused above ``max_categories``).
+    The values of categorical columns are kept as a table (``places``) of any size. Columns of
+    at most ``wide_categories`` values are encoded by expressions; others by a join with it.
     """
 
     numeric: list[str]
     categorical: list[str]
-    max_categories: int = 1000
+    wide_categories: int = 1000
     medians: dict[str, float] = field(default_factory=dict)
-    modes: dict[str, str] = field(default_factory=dict)
+    modes: dict[str, str | None] = field(default_factory=dict)
+    sizes: dict[str, int] = field(default_factory=dict)
     categories: dict[str, list[str]] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+    places: DataFrame | None = None
 
     def fit(self, rows: DataFrame) -> Preprocessor:
         if self.numeric:
             cuts = quantiles(rows, {c: [0.5] for c in self.numeric})
             self.medians = {c: cuts[c][0.5] for c in self.numeric}
-        for c in self.categorical:
-            counts = rows.where(F.col(c).isNotNull()).groupBy(c).count()
-            top = counts.orderBy(F.desc("count"), c).first()
-            self.modes[c] = top[0] if top else None
-            found = [r[0] for r in counts.select(c).orderBy(c).limit(self.max_categories + 1).collect()]
-            if len(found) > self.max_categories:
-                raise ValueError(f"{c} has more than {self.max_categories} categories")
-            self.categories[c] = found
+        if self.categorical:
+            self.places = value_places(rows, self.categorical)
+            mode = F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")
+            found = {r["feature"]: r for r in self.places.groupBy("feature").agg(F.count(F.lit(1)).alias("size"), mode).collect()}
+            self.modes = {c: found[c]["mode"] if c in found else None for c in self.categorical}
+            self.sizes = {c: found[c]["size"] if c in found else 0 for c in self.categorical}
+            few = [c for c in self.categorical if self.sizes[c] <= self.wide_categories]
+            listed = self.places.where(F.col("feature").isin(few)).orderBy("feature", "place").collect()
+            self.categories = {c: [r["value"] for r in listed if r["feature"] == c] for c in few}
         if self.numeric:
             full = self.impute(rows)
             stats = full.agg(
@@ -161,14 +192,25 @@ class Preprocessor:
         names = {c: F.coalesce(F.col(c), F.lit(self.modes[c])) for c in self.categorical}
         return rows.withColumns({**numbers, **names})
 
+    def _joined(self) -> list[str]:
+        """Columns with more values than are held in expressions."""
+        return [c for c in self.categorical if c not in self.categories]
+
     def one_hot(self, rows: DataFrame) -> DataFrame:
-        """0/1 columns for all but the first sorted category; unknown values are all zero."""
+        """0/1 columns for all but the first sorted category; unknown values are all zero.
+
+        A column of more than ``wide_categories`` values becomes ``{column}_hot``, the place of
+        its only 1 among ``sizes[column] - 1`` entries counted from 0, or null where all are zero.
+        """
         columns = {
             f"{c}_{value}": as_flag(F.col(c) == value)
-            for c in self.categorical
-            for value in self.categories[c][1:]
+            for c, values in self.categories.items()
+            for value in values[1:]
         }
-        return rows.withColumns(columns)
+        rows = rows.withColumns(columns)
+        for c in self._joined():
+            rows = with_place(rows, self.places.where("place > 0").withColumn("place", F.col("place") - 1), c, f"{c}_hot")
+        return rows
 
     def label_encode(self, rows: DataFrame) -> DataFrame:
         """Place of the value among the sorted categories; unknown values become null."""
@@ -176,7 +218,10 @@ class Preprocessor:
             place = F.array_position(F.array(*[F.lit(v) for v in self.categories[c]]), F.col(c))
             return F.when(place > 0, place - 1)
 
-        return rows.withColumns({f"{c}_code": code(c) for c in self.categorical})
+        rows = rows.withColumns({f"{c}_code": code(c) if self.sizes[c] else F.lit(None).cast("long") for c in self.categories})
+        for c in self._joined():
+            rows = with_place(rows, self.places, c, f"{c}_code")
+        return rows
 
     def scale(self, rows: DataFrame) -> DataFrame:
         """Zero mean and unit population deviation; constant columns become 0."""
@@ -199,7 +244,7 @@ class Preprocessor:
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast("string"))
         encoded = self.scale(self.one_hot(self.impute(rows)))
-        hot = [f"{c}_{v}" for c in self.categorical for v in self.categories[c][1:]]
+        hot = [f"{c}_{v}" for c, values in self.categories.items() for v in values[1:]] + [f"{c}_hot" for c in self._joined()]
         return encoded.select(*keep, *[f"{c}_scaled" for c in self.numeric], *hot)
 
 

@@ -238,3 +238,16 @@ def early_refills(spark, sf_dir):
 def prescribers_in_30_days(spark, sf_dir):
     rows = claims(spark, sf_dir, "claim_id", "patient_id", "date_of_service", "provider_npi")
     return A.crowded_prescribers(rows, "provider_npi", more_than=1)
+
+
+@registry.query(
+    over_claims(
+        """SELECT a.claim_id, count(DISTINCT b.provider_npi) AS pharmacies FROM fills a JOIN fills b
+        ON a.patient_id = b.patient_id AND b.date_of_service BETWEEN a.date_of_service - 30 AND a.date_of_service
+        GROUP BY 1 HAVING count(DISTINCT b.provider_npi) > 1""",
+        "fills AS (SELECT claim_id, patient_id, date_of_service, provider_npi FROM claims WHERE claim_type = 'pharmacy')",
+    )
+)
+def pharmacies_in_30_days(spark, sf_dir):
+    rows = claims(spark, sf_dir, "claim_id", "patient_id", "date_of_service", "provider_npi", "claim_type")
+    return A.crowded_prescribers(rows.where("claim_type = 'pharmacy'"), "provider_npi", more_than=1, out="pharmacies")

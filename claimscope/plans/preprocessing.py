@@ -215,6 +215,61 @@ def label_encoding(spark, sf_dir):
     return P.Preprocessor([], _CATEGORICAL).fit(rows).label_encode(rows).drop(*_CATEGORICAL)
 
 
+_IDENTITIES = ["patient_id", "provider_id"]
+
+
+def _places(columns: list[str]) -> list[str]:
+    return [
+        f"{c}_places AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS place "
+        f"FROM (SELECT DISTINCT {c} FROM claims WHERE {c} IS NOT NULL))"
+        for c in columns
+    ]
+
+
+@registry.query(
+    over_claims(
+        """SELECT claim_id, p.place AS patient_id_code, q.place AS provider_id_code FROM claims
+        LEFT JOIN patient_id_places p USING (patient_id) LEFT JOIN provider_id_places q USING (provider_id)""",
+        *_places(_IDENTITIES),
+    )
+)
+def label_encoding_of_identities(spark, sf_dir):
+    rows = _inputs(spark, sf_dir, [], _IDENTITIES)
+    return P.Preprocessor([], _IDENTITIES, wide_categories=0).fit(rows).label_encode(rows).drop(*_IDENTITIES)
+
+
+@registry.query(
+    over_claims(
+        " UNION ALL ".join(
+            f"SELECT claim_id, '{c}' AS feature, place FROM claims JOIN {c}_places USING ({c}) WHERE place > 0"
+            for c in ("claim_type", *_IDENTITIES)
+        ),
+        *_places(["claim_type", *_IDENTITIES]),
+    )
+)
+def one_hot_entries(spark, sf_dir):
+    columns = ["claim_type", *_IDENTITIES]
+    rows = _inputs(spark, sf_dir, [], columns)
+    return P.one_hot_entries(rows, "claim_id", P.value_places(rows, columns), columns)
+
+
+@registry.query(
+    over_claims(
+        """SELECT claim_id, place - 1 AS provider_id_hot FROM claims LEFT JOIN places
+          ON coalesce(claims.provider_id, (SELECT provider_id FROM places ORDER BY n DESC, provider_id LIMIT 1))
+            = places.provider_id AND place > 0
+        WHERE date_of_service >= '1998-07-01'""",
+        """places AS (SELECT provider_id, n, row_number() OVER (ORDER BY provider_id) - 1 AS place FROM (
+          SELECT provider_id, count(*) AS n FROM claims
+          WHERE provider_id IS NOT NULL AND date_of_service < '1998-07-01' GROUP BY 1))""",
+    )
+)
+def fitted_identities_on_new_claims(spark, sf_dir):
+    rows = claims(spark, sf_dir, "claim_id", "date_of_service", "provider_id")
+    earlier, later = rows.where("date_of_service < '1998-07-01'"), rows.where("date_of_service >= '1998-07-01'")
+    return P.Preprocessor([], ["provider_id"], wide_categories=0).fit(earlier).transform(later, ["claim_id"])
+
+
 _FILLED = "filled AS (SELECT claim_id, date_of_service, claim_type, " + ", ".join(
     f"coalesce({c}::DOUBLE, {c}_median) AS {c}" for c in _NUMERIC
 ) + " FROM claims, medians)"
