@@ -148,18 +148,21 @@ def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """For each band_key (language, else script) and length_class the middle of each measure's band and half its width.
 
     A class of fewer than ``LEAST_TEXTS`` texts has no row; the row with length_class null is of
-    all lengths. Quartiles are exact over all rows, of figures rounded to thousandths, so that a
-    key's counts stay few and come together before the shuffle.
+    all lengths. So few texts of a key have no row of their own at all; the row with band_key null
+    is of all texts, however few. Quartiles are exact over all rows, of figures rounded to
+    thousandths, so that a key's counts stay few and come together before the shuffle.
     """
     quartiles = [F.percentile(F.round(m, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in _MEASURES]
     by_class = measured.groupBy("band_key", "length_class").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= LEAST_TEXTS)
-    whole = measured.groupBy("band_key").agg(F.lit(None).cast("int").alias("length_class"), F.count("*").alias("n"), *quartiles)
+    no_class, no_key = F.lit(None).cast("int").alias("length_class"), F.lit(None).cast("string").alias("band_key")
+    whole = measured.groupBy("band_key").agg(no_class, F.count("*").alias("n"), *quartiles).filter(F.col("n") >= LEAST_TEXTS)
+    every = measured.agg(no_key, no_class, F.count("*").alias("n"), *quartiles).filter("n > 0")
     columns = []
     for m in _MEASURES:
         low, middle, high = (F.col(m)[i] for i in range(3))
         spread = F.greatest(high - low, LEAST_SPREAD * (F.lit(1.0) if m == "byte_share" else middle))
         columns += [((low + high) / 2).alias(f"{m}_middle"), ((high - low) / 2 + reach * spread).alias(f"{m}_width")]
-    return by_class.unionByName(whole).select("band_key", "length_class", *columns)
+    return by_class.unionByName(whole).unionByName(every).select("band_key", "length_class", *columns)
 
 
 def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
@@ -167,7 +170,8 @@ def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_c
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows. Such
     rows are not kept and do not shape the bands. The others are kept if all figures lie in the
-    bands of their language or script and length class. Null and empty texts have no words;
+    bands of their language or script and length class; a language or script of fewer than ``LEAST_TEXTS``
+    texts has those of all texts. Null and empty texts have no words;
     repeated rows stay repeated; other columns are left out; an empty table gives an empty one.
     """
     measured = measures(docs, model_path, id_column, text_column, lang_column)
@@ -177,16 +181,18 @@ def quality(docs: DataFrame, model_path: str = MODEL, reach: float = REACH, id_c
     judged = ~F.col("base_failed")
     limits = materialise(bands(measured.filter(judged), reach))
     by_class = small_side(limits.filter("length_class IS NOT NULL"))  # some rows for each language or script
-    whole = small_side(limits.filter("length_class IS NULL").select("band_key", *[F.col(c).alias(f"all_{c}") for c in limits.columns[2:]]))
+    whole = small_side(limits.filter("band_key IS NOT NULL AND length_class IS NULL").select("band_key", *[F.col(c).alias(f"all_{c}") for c in limits.columns[2:]]))
+    every = F.broadcast(limits.filter("band_key IS NULL").select(F.lit(True).alias("judged"), *[F.col(c).alias(f"any_{c}") for c in limits.columns[2:]]))  # one row at most
     wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(BAND_TOKENS)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     apart = []
     for m in _MEASURES:
-        middle, all_middle = F.col(f"{m}_middle"), F.col(f"all_{m}_middle")
+        middle, all_middle = F.col(f"{m}_middle"), F.coalesce(f"all_{m}_middle", f"any_{m}_middle")
+        all_width = F.coalesce(f"all_{m}_width", f"any_{m}_width")
         gap = F.abs(F.col(m) - all_middle) if m != "entropy" else all_middle - F.col(m)  # over all lengths entropy grows with the tokens
         within = F.abs(F.col(m) - middle) > F.col(f"{m}_width")
-        apart.append(F.when(F.when(middle.isNotNull(), within).otherwise(gap > wider * F.col(f"all_{m}_width")), F.lit(m)))
+        apart.append(F.when(F.when(middle.isNotNull(), within).otherwise(gap > wider * all_width), F.lit(m)))
     out = F.array_compact(F.array(*apart))
-    rated = measured.join(by_class, ["band_key", "length_class"], "left").join(whole, "band_key", "left")
+    rated = measured.join(by_class, ["band_key", "length_class"], "left").join(whole, "band_key", "left").withColumn("judged", judged).join(every, "judged", "left")
     rated = rated.withColumn("outside", F.when(judged, F.coalesce(out, F.array())).otherwise(F.array().cast("array<string>")))
     rated = rated.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *_MEASURES, "outside")

@@ -34,9 +34,9 @@ PIECE_BYTES = (2 << 20) - 1
 #: Benchmark words that are searched in one pass over the index.
 BLOCK_WORDS = 200_000
 
-_INDEX = "segment long, doc_no int, doc_id long, mark int, start int, n_words int, term string, positions array<int>"
+_INDEX = "segment long, doc_no int, doc_id long, mark long, start int, n_words int, term string, positions array<int>"
 _ROWS = pa.schema([
-    ("segment", pa.int64()), ("doc_no", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32()),
+    ("segment", pa.int64()), ("doc_no", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()),
     ("n_words", pa.int32()), ("term", pa.string()), ("positions", pa.list_(pa.int32())),
 ])
 

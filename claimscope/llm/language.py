@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from claimscope.llm.arrays import pieces, utf8
-from claimscope.llm.tables import tidy
+from claimscope.llm.tables import free_name, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -240,11 +240,3 @@ def identify(docs: DataFrame, net: Network, text_column: str = "text", lang_name
 
     docs_columns = list(docs.columns)
     return docs.mapInArrow(tidy(run), schema)
-
-
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column is called so."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

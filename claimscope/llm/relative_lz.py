@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.arrays import NOT_SPACE, Words, mix, ngrams, pieces, words
-from claimscope.llm.tables import text_mark
+from claimscope.llm.tables import short_mark
 from claimscope.session import materialise
 
 #: Bytes of text in a batch's own block.
@@ -268,7 +268,7 @@ def _parse_shared_block(window: int):
 def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, text and a mark that tells rows of one doc_id but different texts apart."""
     text = docs[text_column]
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"), text_mark(text).alias("mark"))
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"), short_mark(text).alias("mark"))
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimscope.llm.tables import small_side, text_mark
+from claimscope.llm.tables import free_name, small_side, text_mark
 from claimscope.session import materialise
 
 #: Words in the names of secrets.
@@ -215,9 +215,10 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None, id_column: str
     """``docs``, all columns and rows, with each secret in the text replaced by ``mark``."""
     hit = scan(docs, labelled, id_column, text_column).filter("n_secrets > 0")
     flags = F.transform("findings", lambda f: f["secret"])
-    hit = small_side(hit.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), flags.alias("__secret")).dropDuplicates(["__id", "__mark"]))
-    joined = docs.join(hit, docs[id_column].eqNullSafe(hit["__id"]) & (text_mark(docs[text_column]) == hit["__mark"]), "left")
+    hit_id, hit_mark, secret = (free_name(docs, c) for c in ("hit_id", "hit_mark", "secret"))
+    hit = small_side(hit.select(F.col("doc_id").alias(hit_id), F.col("mark").alias(hit_mark), flags.alias(secret)).dropDuplicates([hit_id, hit_mark]))
+    joined = docs.join(hit, docs[id_column].eqNullSafe(F.col(hit_id)) & (text_mark(docs[text_column]) == F.col(hit_mark)), "left")
     text = docs[text_column]
     hits, parts = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
-    clean = F.concat(F.array_join(F.transform(hits, lambda c, i: F.concat(parts[i], F.when(F.col("__secret")[i], F.lit(mark)).otherwise(c))), ""), F.element_at(parts, -1))
-    return joined.select(*[F.when(F.col("__secret").isNotNull(), clean).otherwise(text).alias(c) if c == text_column else docs[c] for c in docs.columns])
+    clean = F.concat(F.array_join(F.transform(hits, lambda c, i: F.concat(parts[i], F.when(F.col(secret)[i], F.lit(mark)).otherwise(c))), ""), F.element_at(parts, -1))
+    return joined.select(*[F.when(F.col(secret).isNotNull(), clean).otherwise(text).alias(c) if c == text_column else docs[c] for c in docs.columns])

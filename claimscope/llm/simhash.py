@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from claimscope.llm.tables import tidy
+from claimscope.llm.tables import free_name, tidy
 from claimscope.session import materialise
 
 BITS = 64
@@ -190,14 +190,15 @@ def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if one_per_id:
         first = kept.filter("NOT unnamed").groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("f")).select("doc_id", "f.*")
         kept = first.unionByName(kept.filter("unnamed").drop("unnamed"))
-    kept = materialise(kept.select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__hash"), "n"))
-    once, often = kept.filter("n = 1"), kept.filter("n > 1")
+    kept_id, kept_hash, number = (free_name(docs, c) for c in ("kept_id", "kept_hash", "n"))
+    kept = materialise(kept.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash), F.col("n").alias(number)))
+    once, often = kept.filter(F.col(number) == 1), kept.filter(F.col(number) > 1)
     own, text_hash = docs[id_column], F.xxhash64(docs[text_column])
-    single = docs.join(once, own.eqNullSafe(once["__kept"]) & (text_hash == once["__hash"]), "left_semi")
+    single = docs.join(once, own.eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_hash)), "left_semi")
     if often.isEmpty():
         return single
-    repeated = docs.join(often, own.eqNullSafe(often["__kept"]) & (text_hash == often["__hash"]), "left_semi")
-    repeated = repeated.withColumn("__hash", F.xxhash64(docs[text_column])).dropDuplicates([id_column, "__hash"]).drop("__hash")
+    repeated = docs.join(often, own.eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_hash)), "left_semi")
+    repeated = repeated.withColumn(kept_hash, text_hash).dropDuplicates([id_column, kept_hash]).drop(kept_hash)
     return single.unionByName(repeated)
 
 

@@ -48,8 +48,21 @@ def _give_back() -> None:
 
 
 def text_mark(text: Column) -> Column:
-    """A short hash of a text, to tell rows apart that share an id."""
-    return F.xxhash64(text).bitwiseAND((1 << 31) - 1).cast("int")
+    """A hash of 64 bits of a text, to tell rows apart that share an id or have none."""
+    return F.xxhash64(text)
+
+
+def short_mark(text: Column) -> Column:
+    """31 bits of ``text_mark``: for a few texts of one id only."""
+    return text_mark(text).bitwiseAND((1 << 31) - 1).cast("int")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -60,6 +73,7 @@ def small_side(df: DataFrame) -> DataFrame:
 
 def without_rows(docs: DataFrame, rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``docs`` without the rows named by (doc_id, mark) in ``rows``; columns and repeated rows as they are."""
-    gone = small_side(rows.select(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct())
-    same = docs[id_column].eqNullSafe(F.col("__gone_id")) & (text_mark(docs[text_column]) == F.col("__gone_mark"))
+    gone_id, gone_mark = free_name(docs, "gone_id"), free_name(docs, "gone_mark")
+    gone = small_side(rows.select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct())
+    same = docs[id_column].eqNullSafe(F.col(gone_id)) & (text_mark(docs[text_column]) == F.col(gone_mark))
     return docs.join(gone, same, "left_anti")
