@@ -7,6 +7,7 @@ from claimscope.operators import history as H
 from claimscope.operators import similarity as Y
 from claimscope.plans.claims_sql import over_claims
 from claimscope.plans.registry import Registry
+from claimscope.session import scratch_path
 from claimscope.sources.tables import claims, table
 
 registry = Registry()
@@ -205,3 +206,33 @@ def document_upsert(spark, sf_dir):
     )
     first_half = F.col("updated_at") < "2024-01-15"
     return Y.upsert(rows.where(first_half), rows.where(~first_half), "doc", "updated_at")
+
+
+@registry.query(
+    """SELECT doc, max(updated_at) AS updated_at, arg_max(body, (updated_at, body)) AS body,
+      CASE WHEN max(updated_at) < '2024-01-15' THEN 1 ELSE 2 END::BIGINT AS batch FROM (
+      SELECT user_id AS doc, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, event_type AS body FROM events)
+    GROUP BY 1"""
+)
+def bucketed_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated_at"),
+        F.col("event_type").alias("body"),
+    )
+    first_half = F.col("updated_at") < "2024-01-15"
+    path = scratch_path(spark)
+    Y.write_bucketed(rows.where("false").withColumn("batch", F.lit(0).cast("long")), path, "doc", 16)
+    for batch, part in enumerate((rows.where(first_half), rows.where(~first_half)), 1):
+        Y.upsert_into(path, part, "doc", "updated_at", batch, 16)
+    return spark.read.schema("doc long, updated_at string, body string, batch long, bucket int").parquet(path).drop("bucket")
+
+
+@registry.query()
+def indexed_similarity_search(spark, sf_dir):
+    """The nearest rows of every twentieth vector, by an index."""
+    vectors = table(spark, sf_dir, "embeddings")
+    path = scratch_path(spark)
+    Y.build_index(vectors, path, "vec_id", "embedding")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return Y.search_index(path, queries, "vec_id", "embedding", threshold=0.0)
