@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ class Tokenizer:
         if len(self.text) > FILE_BYTES:
             raise ValueError(f"{path} has more than {FILE_BYTES} bytes")
         said = json.loads(self.text)
+        self.split = pre_tokens(said)
         self.version = hashlib.sha256("\n".join((_CALL, tokenizers.__version__, self.text)).encode()).hexdigest()
         self.normalises = said.get("normalizer") is not None
         self.added = [t["content"] for t in said.get("added_tokens", [])]
@@ -100,36 +102,111 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.searchsorted(cuts, offsets)
 
 
+# fixed values: what the byte-level pre-tokeniser, and that of the word vocabulary, take as one pre-token
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_LEVEL = _CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+_WORD_LEVEL = _CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALISER = ["NFC", "Replace", "Lowercase"]
+
+#: Letters of plain pieces: no normal form changes them, and lower case is the same everywhere.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def pre_tokens(said: dict) -> Callable[[str], list[str] | None]:
+    """A function that splits a piece as the tokenizers file ``said`` does, into what its model takes.
+
+    It gives None for pieces that the library has to split: those of other characters than printable
+    ASCII and Latin-1 letters (after one space or line end at most), or with a character that an
+    added token begins with, and all of other files.
+    """
+    from tokenizers import pre_tokenizers
+
+    before, normaliser = said.get("pre_tokenizer") or {}, said.get("normalizer") or {}
+    if said.get("model", {}).get("type") != "BPE":
+        return lambda piece: None
+    begun = {t["content"][:1] for t in said.get("added_tokens", [])}
+    printable = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalpha() and chr(c) not in begun)
+    plain = re.compile(f"[ \n]?[{printable}{_LETTERS}]+").fullmatch if not any(c.isalpha() for c in begun) else lambda piece: None
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    table = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in [0x0A, 0x20, *range(0xC0, 0x100)]}
+
+    def finder(pattern: str) -> Callable[[str], list[str]]:
+        pattern = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", f"[^\\s{_LETTERS}0-9]")
+        return re.compile(pattern.replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", "[0-9]")).findall
+
+    def mapped(parts: list[str]) -> list[str]:
+        """Each byte as the character that stands for it in the vocabulary."""
+        return [x if x.isascii() and x[0] > " " else "Ġ" + x[1:] if x.isascii() and x[0] == " " else x.translate(table) for x in parts]
+
+    if not normaliser and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True):
+        find = finder(_BYTE_LEVEL)
+        return lambda piece: mapped(find(piece)) if plain(piece) else None
+    steps = before.get("pretokenizers", [])
+    splits = [x.get("pattern", {}).get("Regex") for x in steps]
+    names = [x.get("type") for x in normaliser.get("normalizers", [])]
+    if splits == [_WORD_LEVEL, None] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and names == _WORD_NORMALISER and not steps[1].get("add_prefix_space", True):
+        find = finder(_WORD_LEVEL)
+        return lambda piece: mapped(find(piece.lower())) if plain(piece) else None
+    return lambda piece: None
+
+
+class Pieces:
+    """The distinct pieces of texts (none is null), and which of them each text has."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        found, self.first = cut(texts)
+        coded = found.dictionary_encode()
+        self.distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
+        self.places = coded.indices.to_numpy(zero_copy_only=False)
+
+    def sums(self, counts: np.ndarray) -> pa.Array:
+        """For each text the sum of its pieces' counts."""
+        before = np.zeros(len(self.places) + 1, np.int64)
+        np.cumsum(counts[self.places], out=before[1:])
+        return pa.array(before[self.first[1:]] - before[self.first[:-1]])
+
+
 class PieceCounter:
     """Counts the tokens of texts; of the pieces that are equal one is encoded.
 
-    The counts of at most ``KEPT_PIECES`` short pieces are kept from call to call, so a counter is
-    made for a task and goes with it. Without ``cuts_at_spaces`` texts are encoded whole.
+    ``split`` (``pre_tokens``) lets plain pieces go straight to the library's model; the others are
+    encoded in batches, which make an encoding with all its columns of each. The counts of at most
+    ``KEPT_PIECES`` short pieces are kept from call to call, so a counter is made for a task and
+    goes with it. Without ``cuts_at_spaces`` texts are encoded whole.
     """
 
-    def __init__(self, library, cuts_at_spaces: bool) -> None:
-        self.library, self.cuts_at_spaces = library, cuts_at_spaces
+    def __init__(self, library, cuts_at_spaces: bool, split: Callable[[str], list[str] | None] = lambda piece: None) -> None:
+        self.library, self.cuts_at_spaces, self.split = library, cuts_at_spaces, split
         self.kept: dict[str, int] = {}
 
     def _encoded(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        tokens, counts, rest = self.library.model.tokenize, [], []
+        for x in texts:
+            parts = self.split(x)
+            if parts is None:
+                rest.append(x)
+                counts.append(None)
+            else:
+                counts.append(len(tokens(parts[0])) if len(parts) == 1 else sum([len(tokens(p)) for p in parts]))
+        whole = map(len, self.library.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(whole) if n is None else n for n in counts]
 
     def counts(self, texts: pa.Array) -> pa.Array:
         """The number of tokens of each text (none is null)."""
         if not self.cuts_at_spaces:
-            return pa.array(self._encoded(texts.to_pylist()), pa.int64())
-        found, first = cut(texts)
-        coded = found.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
-        if len(self.kept) + len(distinct) > KEPT_PIECES:
+            return pa.array([len(e) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.int64())
+        return self.of_pieces(Pieces(texts))
+
+    def of_pieces(self, found: Pieces) -> pa.Array:
+        """The number of tokens of each text whose pieces these are."""
+        if len(self.kept) + len(found.distinct) > KEPT_PIECES:
             self.kept = {}
-        new = [x for x in distinct if x not in self.kept]
-        fresh = dict(zip(new, self._encoded(new)))
-        counts = np.array([fresh[x] if x in fresh else self.kept[x] for x in distinct], np.int64)
-        self.kept.update((x, n) for x, n in fresh.items() if len(x) <= 64)
-        before = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(counts[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else counts, out=before[1:])
-        return pa.array(before[first[1:]] - before[first[:-1]])
+        counts = [self.kept.get(x) for x in found.distinct]
+        new = [x for x, n in zip(found.distinct, counts) if n is None]
+        encoded = self._encoded(new)
+        self.kept.update((x, n) for x, n in zip(new, encoded) if len(x) <= 64)
+        fresh = iter(encoded)
+        return found.sums(np.array([next(fresh) if n is None else n for n in counts], np.int64))
 
 
 def _encoder(tokenizer: Tokenizer):
@@ -139,7 +216,7 @@ def _encoder(tokenizer: Tokenizer):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        counter = PieceCounter(tokenizer.load(), tokenizer.cuts_at_spaces)
+        counter = PieceCounter(tokenizer.load(), tokenizer.cuts_at_spaces, tokenizer.split)
         for batch in batches:
             for piece in pieces(batch, "text", BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column("digest"), counter.counts(piece.column("text"))], names=["digest", "n_tokens"])

@@ -10,6 +10,7 @@ the plain rules.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimscope.llm.arrays import NOT_SPACE, mix, ngrams, pieces, utf8, words
-from claimscope.llm.digest_cache import PieceCounter
+from claimscope.llm.digest_cache import PieceCounter, Pieces, pre_tokens
 from claimscope.llm.sentencepiece_codec import MODEL, codec, read_model
 from claimscope.llm.tables import small_side, tidy
 from claimscope.session import materialise
@@ -109,8 +110,8 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(message)
-        vocabularies = [PieceCounter(Tokenizer.from_str(x), cuts_at_spaces=True) for x in others]
+        own = codec(message, checked=False)
+        vocabularies = [PieceCounter(Tokenizer.from_str(x), cuts_at_spaces=True, split=pre_tokens(json.loads(x))) for x in others]
         ascii_byte = np.array([k == 6 and int(p[3:5], 16) < 128 for p, _, k in own.model.pieces])
         fallback = own.is_byte & ~ascii_byte
         own.forget()
@@ -125,6 +126,7 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
                 scripts[:, 0] = 0
                 texts = [x or "" for x in column.to_pylist()]
                 ids = own.encode(texts)
+                found_pieces = Pieces(column.fill_null(""))
                 n_tokens = np.fromiter(map(len, ids), np.int64, n_texts)
                 chars = _per_text(_LEADS[data], offsets)
                 byte_share = np.array([fallback[x].mean() if len(x) else 0.0 for x in ids])
@@ -134,7 +136,7 @@ def measures(docs: DataFrame, model_path: str = MODEL, id_column: str = "doc_id"
                         pa.array(np.diff(found.first)), pa.array(_per_text(_LEADS[data] & NOT_SPACE[data], offsets)), pa.array(_per_text(_SYMBOLS[data], offsets)),
                         pa.array([_duplicate_lines(x.encode()) if "\n" in x else 0 for x in texts], pa.int64()), pa.array(_repeated_words(found)),
                         pa.array(n_tokens), pa.array(chars / np.maximum(n_tokens, 1)), pa.array(byte_share, pa.float64()), pa.array([_entropy(x) for x in ids], pa.float64()),
-                        *[pa.array(chars / np.maximum(v.counts(column.fill_null("")).to_numpy(), 1)) for v in vocabularies],
+                        *[pa.array(chars / np.maximum(v.of_pieces(found_pieces).to_numpy(), 1)) for v in vocabularies],
                     ],
                     ["doc_id", "lang", "script", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *_MEASURES],
                 )

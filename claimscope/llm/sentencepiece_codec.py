@@ -165,10 +165,12 @@ class Codec:
     Where no piece goes on across a metaspace marker, a text's ids are those of its words put
     together; each word is then encoded (and decoded, to see that it comes back) once per worker
     and kept in a table of at most ``CACHED_WORDS`` words. Texts with leading, trailing or
-    repeated spaces, and all texts of other models, are encoded as a whole.
+    repeated spaces, and all texts of other models, are encoded as a whole. With one thread a word
+    goes straight to the BPE model, as it is one pre-token: a batch would make an encoding of each.
+    Without ``checked`` it is not worked out whether words come back.
     """
 
-    def __init__(self, message: bytes, threads: int = 1) -> None:
+    def __init__(self, message: bytes, threads: int = 1, checked: bool = True) -> None:
         if threads > 1:
             os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -178,19 +180,37 @@ class Codec:
         self.by_word = self.model.cuts_at_marks and self.model.dummy_prefix and not self.model.charsmap
         #: the bytes that each id stands for
         self.surfaces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.checked = checked
+        own = any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
+        self.core = self.tokenizer.model if threads == 1 and self.by_word and self.model.kind == BPE and not own else None
         self._ids: dict[str, bytes] = {}
         self._lossy: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encode_checked(texts)[0]
+        return self._encode(texts)[0]
 
     def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """The ids of each text, and whether they decode to it."""
+        if not self.checked:
+            raise ValueError("this codec does not check what it encodes")
+        return self._encode(texts)
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        if self.core is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = []
+        for w in words:
+            one = w and MARK not in w and not (self.model.remove_extra_spaces and w != w.strip())
+            found.append([t.id for t in self.core.tokenize(MARK + w)] if one else self.tokenizer.encode(w, add_special_tokens=False).ids)
+        return found
+
+    def _encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         words = [x.split(" ") if self.by_word and x and "  " not in x and x[0] != " " != x[-1] else None for x in texts]
         self.learn({w for x in words if x is not None for w in x})
         whole = [x for x, w in zip(texts, words) if w is None]
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        rest = iter(zip(encoded, whole, self.decode(encoded)))
+        rest = iter(zip(encoded, whole, self.decode(encoded) if self.checked else whole))
         ids, back = [], []
         for x in words:
             if x is None:
@@ -211,10 +231,11 @@ class Codec:
             new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids = self._words(part)
             self._ids.update((w, array("i", i).tobytes()) for w, i in zip(part, ids))
-            surface = self.surfaces.__getitem__
-            self._lossy.update(w for w, i in zip(part, ids) if b"".join(map(surface, i)) != b" " + w.encode())
+            if self.checked:
+                surface = self.surfaces.__getitem__
+                self._lossy.update(w for w, i in zip(part, ids) if b"".join(map(surface, i)) != b" " + w.encode())
         return self._ids
 
     def forget(self) -> None:
@@ -226,9 +247,9 @@ class Codec:
 
 
 @functools.lru_cache(2)
-def codec(message: bytes, threads: int = 1) -> Codec:
+def codec(message: bytes, threads: int = 1, checked: bool = True) -> Codec:
     """One codec for each model in a Python worker."""
-    return Codec(message, threads)
+    return Codec(message, threads, checked)
 
 
 def read_model(path: str) -> bytes:

@@ -1,5 +1,6 @@
 """Token counts against the library, and what the cache spares."""
 
+import json
 import random
 
 import pyarrow as pa
@@ -89,3 +90,20 @@ def test_long_texts_are_cut_without_a_change(spark, monkeypatch):
     assert first.tolist()[:2] == [0, 11 * 9000 + 1] and b"".join(found.to_pylist()) == "".join(texts).encode()
     found = {r["doc_id"]: r["n_tokens"] for r in digest_cache.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert found == {i: count(t) for i, t in enumerate(texts)}
+
+
+PIECES = [
+    "don't I'll we'RE it's 'S 's", "<|endoftext|> a<b <|startoftext|>x", "  two  spaces ", "a\n\nb\tc ", "\nWas it\n", "Ünï 漢字 ＡＢ １２ ½ 12345 a1b2",
+    "x\x1fy \x7f\x00 z", "", " ", "'re're'", "ſ K İ I", "a b", "É́ été ÀÉ ß ÿ × ÷ aé1ö", "a\r\nb", "!!!??? ... ,;:\"'\"", "é" * 500,
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_pieces_have_the_counts_of_the_library(name):
+    text = open(public_tokenizers.path(name), encoding="utf-8").read()
+    library, split = tokenizers.Tokenizer.from_str(text), digest_cache.pre_tokens(json.loads(text))
+    assert split(" Hello,") and split("été") and split("<") is None and split("漢") is None
+    counter = digest_cache.PieceCounter(library, True, split)
+    for _ in range(2):  # the second time from the kept counts
+        assert counter.counts(pa.array(PIECES)).to_pylist() == [len(library.encode(x, add_special_tokens=False).ids) for x in PIECES]
+    assert digest_cache.pre_tokens({"model": {"type": "Unigram"}})("a") is None
