@@ -119,7 +119,7 @@ def estimator(name: str, features: int, **changes) -> Estimator:
     common = {"featuresCol": "features", "labelCol": "label"}
     weighted = {**common, "weightCol": "class_weight"}
     if name == "random_forest":
-        return RandomForestClassifier(**{**weighted, "numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2, "seed": 42, **changes})
+        return RandomForestClassifier(**{**weighted, "numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2, "maxMemoryInMB": 1024, "seed": 42, **changes})
     if name == "logistic_regression":
         return LogisticRegression(**{**weighted, "regParam": 0.01, "maxIter": 1000, **changes})
     if name == "gradient_boosting":

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.columns import joined, or_empty, rounded
 from claimscope.operators import outliers as O
+from claimscope.operators.detection import VOTES, full_ensemble
 from claimscope.plans.claims_sql import over_claims
 from claimscope.plans.registry import Registry
 from claimscope.session import materialise
@@ -300,27 +301,12 @@ def density_noise_all_features(spark, sf_dir):
     return O.dbscan_noise(_grid(spark, sf_dir), "claim_id", ["x", "y", "z"], eps=0.5)
 
 
-#: Detectors of the full ensemble besides the statistical ones, by their flag.
-FITTED = ["isolation_outlier", "lof_outlier", "covariance_outlier", "is_noise"]
-
-
 @registry.query()
 def full_outlier_ensemble(spark, sf_dir):
     """The statistical detectors and the fitted ones, each with a vote."""
-    rows = points(spark, sf_dir)
-    model = fitted(rows)
-    voted = O.statistical_votes(rows, model).select("claim_id", "fraud_indicator", *O.METHODS)
-    scaled = materialise(rows.withColumns(O.z_scores(model)))
-    normal = scaled.where("NOT fraud_indicator")
-    flags = [
-        O.isolation_outliers(normal, scaled, "claim_id", FEATURES), O.local_outlier_factor(normal, scaled, "claim_id", FEATURES),
-        O.robust_covariance_outliers(normal, scaled, FEATURES), O.dbscan_noise(scaled, "claim_id", FEATURES, eps=0.5),
-    ]
-    voted = voted.join(scaled.select("claim_id", *FEATURES), "claim_id")
-    for name, found in zip(FITTED, flags):
-        voted = voted.join(found.select("claim_id", name), "claim_id")
-    out = O.ensemble(voted, {m: m for m in [*O.METHODS, *FITTED]}, FEATURES)
+    rows = materialise(points(spark, sf_dir))
+    out = full_ensemble(rows.where("NOT fraud_indicator"), rows, "claim_id", FEATURES).join(rows.select("claim_id", "fraud_indicator"), "claim_id")
     return out.select(
-        "claim_id", "fraud_indicator", *O.METHODS, *FITTED, "anomaly_score", "is_anomaly", "confidence",
+        "claim_id", "fraud_indicator", *VOTES, "anomaly_score", "is_anomaly", "confidence",
         joined(F.col("methods")).alias("methods"), joined(F.col("contributing_features")).alias("contributing_features"),
     )

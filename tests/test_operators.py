@@ -135,7 +135,7 @@ def test_full_ensemble_and_noise_use_every_detector_and_feature(spark, sf_dir):
     noise = {k for k, p in rows.items() if tuple(p) in lonely}
     assert {r["claim_id"] for r in plans.density_noise_all_features(spark, sf_dir).where("is_noise").collect()} == noise
 
-    names = [*outliers.METHODS, *plans.FITTED]
+    names = plans.VOTES
     out = plans.full_outlier_ensemble(spark, sf_dir).collect()
     assert len(names) == 8 and len(out) == len(rows)
     for r in out:
