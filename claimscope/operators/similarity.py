@@ -17,6 +17,9 @@ from claimscope.session import materialise
 
 BLOCK_QUERIES = 4096
 
+#: Scores that a task holds at once; only the best of them for each query are kept.
+_SCORES = 2_000_000
+
 
 def stable_id(column: str | Column) -> Column:
     """First 64 bits of the SHA-256 of a text, as a decimal number."""
@@ -124,6 +127,16 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
+def _first_rows(scores: np.ndarray, ok: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and query of the at most ``k`` best scores of each column among those that are ``ok``; of equal ones the first rows."""
+    ranked = np.where(ok, -scores, np.inf).T
+    row = np.argsort(ranked, axis=1, kind="stable")[:, :k]
+    query = np.repeat(np.arange(len(row)), row.shape[1])
+    row = row.ravel()
+    good = ok[row, query]
+    return row[good], query[good]
+
+
 def _search_block(
     rows: DataFrame, queries: DataFrame, key: str, column: str, k: int, threshold: float, payload: str | None,
     centers: np.ndarray | None = None, probes: int = 0,
@@ -143,20 +156,23 @@ def _search_block(
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for batch in batches:
+            batch = batch.sort_values(key, kind="stable")  # of equal scores the smaller key comes first
             vectors = _units(np.stack(batch[column].to_numpy()).astype(np.float64))
             parts = [] if kept is None else [kept]
             lists = np.zeros(len(batch), int) if asks is None else batch["list"].to_numpy()
             for number in np.unique(lists):
                 own = np.nonzero(lists == number)[0]
                 asking = np.arange(len(ids)) if asks is None else np.nonzero(asks[:, number])[0]
-                scores = vectors[own] @ matrix[asking].T
-                ok = scores >= threshold
-                if only is not None:
-                    ok &= batch[payload].to_numpy()[own][:, None] == only[asking][None, :]
-                row, query = np.nonzero(ok)
-                parts.append(
-                    pd.DataFrame({"query_id": ids[asking[query]], key: batch[key].to_numpy()[own[row]], "score": scores[row, query]})
-                )
+                step = max(1, _SCORES // max(len(asking), 1))
+                for some in (own[at : at + step] for at in range(0, len(own), step)):
+                    scores = vectors[some] @ matrix[asking].T
+                    ok = scores >= threshold
+                    if only is not None:
+                        ok &= batch[payload].to_numpy()[some][:, None] == only[asking][None, :]
+                    row, query = _first_rows(scores, ok, k)
+                    parts.append(
+                        pd.DataFrame({"query_id": ids[asking[query]], key: batch[key].to_numpy()[some[row]], "score": scores[row, query]})
+                    )
             kept = pd.concat(parts).sort_values(["score", key], ascending=[False, True]).groupby("query_id").head(k)
         if kept is not None:
             yield kept

@@ -77,3 +77,15 @@ def test_closeness_from_sketches_is_near_the_exact_one(spark):
     found = {r["provider_id"]: r["provider_closeness_centrality"] for r in graph.closeness_estimates(claims).collect()}
     assert found.keys() == exact.keys() and found["v999"] == exact["v999"] == 0.0
     assert all(found[p] == pytest.approx(exact[p], rel=0.1) for p in exact)
+
+
+def test_only_the_best_rows_of_a_query_are_kept():
+    draw = np.random.default_rng(6)
+    scores = draw.integers(-3, 4, size=(500, 20)) / 4  # many ties
+    ok = (scores >= 0) & (draw.random(scores.shape) < 0.7)
+    ok[:, 3] = False
+    row, query = similarity._first_rows(scores, ok, 10)
+    for q in range(20):
+        wanted = sorted((-scores[r, q], r) for r in np.flatnonzero(ok[:, q]))[:10]
+        assert sorted((-scores[r, q], r) for r in row[query == q]) == wanted
+    assert len(row) <= 10 * 20
