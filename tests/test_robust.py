@@ -57,3 +57,22 @@ def test_few_and_flat_rows(spark):
     flat = spark.createDataFrame([(i, float(i % 50), 1.0 if i < 190 else 5.0) for i in range(200)], "id int, a double, b double")
     found = outliers.robust_covariance_outliers(flat, flat, ["a", "b"], contamination=0.06).collect()
     assert {r["id"] for r in found if r["covariance_outlier"]} >= set(range(190, 200))
+
+
+def test_moments_of_parts_are_numpys_and_plain_columns(spark):
+    """One row a task and condition comes back, however the rows are cut, and rows of no condition count nowhere."""
+    x = np.random.default_rng(5).normal(1e6, 1.0, (900, 2))
+    rows = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double").repartition(7)
+    conditions = [rows["a"] <= 1e6, rows["a"] > 2e6, rows["b"] > rows["a"]]
+    found = outliers._moments_where(rows, ["a", "b"], conditions)
+    for (mean, cov), part in zip(found, (x[x[:, 0] <= 1e6], x[:0], x[x[:, 1] > x[:, 0]])):
+        assert np.allclose(mean, part.mean(axis=0) if len(part) else 0, rtol=1e-12) and np.allclose(cov, np.cov(part.T) if len(part) else 0, rtol=1e-8)
+
+
+def test_bins_are_counted_once_a_task(spark):
+    """A pass brings at most one row a bin and task to the shuffle, not one a value."""
+    from claimscope.functions import skew
+
+    rows = spark.range(200_000).selectExpr("cast(id % 20 as double) AS v").coalesce(2)
+    counted = rows.mapInArrow(skew._bin_counts([("v", 0.0, 19.0)]), "span int, bin int, n long, lo double, hi double").collect()
+    assert len(counted) == 40 and sum(r["n"] for r in counted) == 200_000 and all(r["lo"] == r["hi"] for r in counted)
