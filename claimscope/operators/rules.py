@@ -200,21 +200,24 @@ def crowded_positions(
 
 
 def with_context(claims: DataFrame, config: RuleConfig, names: list[str]) -> DataFrame:
-    """Add the values the named rules need from other claims."""
+    """Add the values the named rules need from other claims.
+
+    Values by claim_id come last, so that the claims are shuffled once for all of them.
+    """
     limits = config.thresholds
     rows = claims
     if "unbundling_detection" in names:
         found = same_day_overlaps(claims).withColumnRenamed("codes", "sorted_codes")
         rows = rows.withColumn("sorted_codes", F.array_sort(F.array_distinct("procedure_codes")))
         rows = rows.join(found, [*DAY, "sorted_codes"], "left").drop("sorted_codes")
-    if "staged_accident_pattern" in names:
-        rows = rows.join(similar_accidents(claims), "claim_id", "left")
-    if "prescription_fraud_volume" in names:
-        rows = rows.join(doctor_shopping(claims).drop("recent_providers"), "claim_id", "left")
     if "kickback_referral_pattern" in names:
         share = referral_concentration(claims).select("provider_id", "concentration")
         circles = circular_referrals(claims).withColumn("circular", F.lit(True))
         rows = rows.join(share.join(circles, "provider_id", "full"), "provider_id", "left")
+    if "staged_accident_pattern" in names:
+        rows = rows.join(similar_accidents(claims), "claim_id", "left")
+    if "prescription_fraud_volume" in names:
+        rows = rows.join(doctor_shopping(claims).drop("recent_providers"), "claim_id", "left")
     if "billing_frequency_anomaly" in names:
         by_provider = crowded_positions(
             claims, "provider_id", limits["max_daily_claims_per_provider"], K.PROVIDER_HISTORY, "provider_today"
@@ -494,7 +497,7 @@ _NO_EVIDENCE = "array<struct<points:int,text:string>>"
 
 
 def _evaluated(claims: DataFrame, config: RuleConfig, names: list[str]) -> DataFrame:
-    """Per claim an array of rule results.
+    """Per claim the evidence and the points of each rule.
 
     Evidence and points are computed in projections of their own, so that each is
     evaluated once although several output fields use it.
@@ -507,6 +510,20 @@ def _evaluated(claims: DataFrame, config: RuleConfig, names: list[str]) -> DataF
     def total(name: str) -> Column:
         return F.aggregate(name, F.lit(0), lambda acc, e: acc + e["points"])
 
+    rows = with_context(claims, config, names)
+    shared = {n: build() for n, (c, build) in _SHARED.items() if c in claims.columns}
+    derived = {n: build() for name in names for n, build in _DERIVED.get(name, {}).items()}
+    return (
+        rows.withColumns(shared)
+        .withColumns(derived)
+        .select("claim_id", *[evidence(name).alias(name) for name in names])
+        .select("*", *[total(name).alias(f"{name}_points") for name in names])
+    )
+
+
+def _results(config: RuleConfig, names: list[str]) -> Column:
+    """The array of rule results over the columns of ``_evaluated``."""
+
     def result(name: str) -> Column:
         rule = config.rules[name]
         return F.struct(
@@ -518,25 +535,17 @@ def _evaluated(claims: DataFrame, config: RuleConfig, names: list[str]) -> DataF
             F.lit(points(rule["weight"])).alias("weight"),
         )
 
-    rows = with_context(claims, config, names)
-    shared = {n: build() for n, (c, build) in _SHARED.items() if c in claims.columns}
-    derived = {n: build() for name in names for n, build in _DERIVED.get(name, {}).items()}
-    return (
-        rows.withColumns(shared)
-        .withColumns(derived)
-        .select("claim_id", *[evidence(name).alias(name) for name in names])
-        .select("*", *[total(name).alias(f"{name}_points") for name in names])
-        .select("claim_id", F.array(*[result(name) for name in names]).alias("results"))
-    )
+    return F.array(*[result(name) for name in names])
 
 
 def rule_results(claims: DataFrame, config: RuleConfig | None = None, names: list[str] | None = None) -> DataFrame:
     """Long table claim x enabled rule with score, trigger and evidence."""
     config = config or RuleConfig()
     names = [n for n in config.enabled() if names is None or n in names]
+    # not of a named column: Spark would filter by its size first, and evaluate every rule again for that
     return (
         _evaluated(claims, config, names)
-        .select("claim_id", F.inline("results"))
+        .select("claim_id", F.inline(_results(config, names)))
         .select(
             "claim_id", "rule_name", "fraud_type", (F.col("points") / 100).alias("score"),
             "triggered", "evidence",
@@ -554,6 +563,7 @@ def rule_scores(claims: DataFrame, config: RuleConfig | None = None) -> DataFram
     score = F.col("rule_score")
     return (
         _evaluated(claims, config, names)
+        .select("claim_id", _results(config, names).alias("results"))
         .select(
             "claim_id",
             (weighted / (100.0 * weights) if weights else F.lit(0.0)).alias("rule_score"),
