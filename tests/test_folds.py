@@ -31,3 +31,11 @@ def test_running_totals_of_two_weights(rows):
     for r in found:
         sums[r["y"]] = [sums[r["y"]][0] + r["a"], sums[r["y"]][1] + r["b"]]
         assert [r["upto_a"], r["upto_b"]] == sums[r["y"]]
+
+
+def test_training_rows_are_dealt_evenly(spark):
+    cores = spark.sparkContext.defaultParallelism
+    lopsided = spark.range(0, 20_000, 1, 3).where("id % 3 = 0 OR id < 6000")
+    parts = classify.dealt_evenly(lopsided).rdd.glom().map(len).collect()
+    assert len(parts) == cores and max(parts) <= 1.1 * min(parts)
+    assert classify.dealt_evenly(spark.range(0, 100, 1, 3)).rdd.getNumPartitions() == 3
