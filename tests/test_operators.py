@@ -448,3 +448,16 @@ def test_state_grows_with_the_batch_only(spark, tmp_path):
     assert len(puts) == 3 and puts[0] >= 80 and max(puts[1:]) < puts[0] / 2
     out = {r["claim_id"]: (r["provider_today"], r["patient_today"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out["B1"] == (2, 2) and out["B2"] == (3, 2) and len(out) == 42
+
+
+def test_keys_share_the_calls_to_the_state(spark, tmp_path):
+    """Forty providers and patients in four buckets take eight values of state, and the counts stay those of each key."""
+    source, day = str(tmp_path / "in"), datetime.date(2024, 1, 1)
+    rows = [(f"C{i:03d}", None if i == 79 else f"PRV-{i % 40}", f"PAT-{i % 40}", day, None) for i in range(80)]
+    spark.createDataFrame(rows, STREAM).coalesce(1).write.parquet(source)
+    seen = []
+    stream = streams.claim_stream(spark, source, spark.read.parquet(source).schema, 1, "parquet")
+    streams.score_against_history(stream, str(tmp_path / "out"), str(tmp_path / "cp"), on_progress=seen.append, buckets=4)
+    assert sum(s["customMetrics"]["rocksdbPutCount"] for p in seen for s in p["stateOperators"]) <= 8
+    out = {r["claim_id"]: (r["provider_today"], r["patient_today"], r["recent_providers"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out["C000"] == (1, 1, 1) and out["C041"] == (2, 2, 1) and out["C079"] == (None, 2, 2) and len(out) == 80
