@@ -1,12 +1,13 @@
-"""Products dealt out in panels of blocks."""
+"""Products dealt out in panels of blocks, and unions of sketches outside of Spark's own functions."""
 
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimscope.operators import blocks, graph
+from claimscope.operators import blocks, graph, sketches
 
 #: More than eight blocks of providers, so that a panel has several blocks and there are several panels.
 PROVIDERS = 4700
@@ -55,3 +56,30 @@ def test_walks_over_several_panels(spark, claims):
     for v in names:
         expected = 1199 * 1198 if v == hub else 0 if len(near[v]) == 1 else 4
         assert between[v] == pytest.approx(expected / scale)
+
+
+def test_united_sketches_are_those_of_spark(spark):
+    names = F.concat(F.lit("v"), F.col("id").cast("string"))
+
+    def sketch(start, end):
+        return bytes(spark.range(start, end).agg(F.hll_sketch_agg(names, 12)).first()[0])
+
+    large, other, small = sketch(0, 1500), sketch(1000, 2500), sketch(0, 100)
+    both = spark.createDataFrame([(large, other)], "a binary, b binary").select(F.hll_union("a", "b")).first()[0]
+    made = np.maximum(sketches.registers(large, 12), sketches.registers(other, 12))
+    assert sketches.sketch_of_registers(made, 12) == bytes(both)
+    hashes = sketches.hashes(small)
+    assert len(hashes) == 100 and sketches.hashes(large) is None
+    parts = spark.createDataFrame([(s,) for s in sketches.sketches_of_hashes(hashes, 12)], "s binary")
+    assert parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s"))).first()[0] == 100
+
+
+def test_sketches_turn_to_registers_on_the_way(spark):
+    rows = [(f"p{p}", f"v{v}") for p in range(3) for v in range(p * 400, p * 400 + 500)]
+    claims = spark.createDataFrame(rows, "patient_id string, provider_id string")
+    exact = {r[0]: r[1] for r in graph.closeness(claims).collect()}
+    found = {r["provider_id"]: r for r in graph.closeness_estimates(claims).collect()}
+    assert set(found) == set(exact)
+    for v, value in exact.items():
+        assert found[v]["providers_reached"] == pytest.approx(1300, rel=0.06)
+        assert found[v]["provider_closeness_centrality"] == pytest.approx(value, rel=0.12)
