@@ -58,6 +58,25 @@ def test_walks_over_several_panels(spark, claims):
         assert between[v] == pytest.approx(expected / scale)
 
 
+def test_many_wedges_are_not_listed(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = [(f"p{p}", f"v{draw.randrange(300)}") for p in range(3000) for _ in range(3)]
+    claims = spark.createDataFrame(rows, "patient_id string, provider_id string")
+    providers = graph.incidences(claims).select("provider_id").distinct()
+    listed = {r[0]: r[1] for r in graph.clustering(graph.edges(claims), providers).collect()}
+    used = []
+    multiply = graph.link_triangles
+    monkeypatch.setattr(graph, "MOST_WEDGES", 0)
+    monkeypatch.setattr(graph, "link_triangles", lambda links: used.append(1) or multiply(links))
+    # some 14,000 wedges in one pair of blocks: fewer than were listed before
+    few = claims.where("patient_id < 'p14'")
+    providers = graph.incidences(few).select("provider_id").distinct()
+    graph.clustering(graph.edges(few), providers).collect()
+    assert used
+    providers = graph.incidences(claims).select("provider_id").distinct()
+    assert {r[0]: r[1] for r in graph.clustering(graph.edges(claims), providers).collect()} == pytest.approx(listed)
+
+
 def test_united_sketches_are_those_of_spark(spark):
     names = F.concat(F.lit("v"), F.col("id").cast("string"))
 
